@@ -133,7 +133,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, listed: int = SHORTL
 
     codes = saved(rows.mapInPandas(encoded, "vec_id long, code binary, half double"), "ann-codes")
 
-    def scanned(key, cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+    def scanned(key: tuple, cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out_q, out_c, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(cand) and len(query):
             cand = cand.sort_values("vec_id").drop_duplicates("vec_id")

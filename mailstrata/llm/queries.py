@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, pii, secret_scan, sharding, topk, toxicity
+from . import ann, bpe, jaccard, mixing, pii, secret_scan, sharding, topk, toxicity
 
 QUERIES = {
     "op1_anisotropic_ann": ann.op1_anisotropic_ann,
     "op2_pii_spans": pii.op2_pii_spans,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_byte_bpe": bpe.op9_byte_bpe,

@@ -100,7 +100,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sample_ids, sample = sampled(rows, SAMPLE)
     shards, parts, width = blocks(n, SHARD), blocks(n_queries, QUERIES), sample.shape[1]
 
-    def joined(key, cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+    def joined(key: tuple, cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         if not len(cand) or not len(query):
             return none
