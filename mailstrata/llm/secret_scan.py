@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import saved, shared_dir
 from .spans import digest, joined, matches
 
 #: Named in the ledger: raise it with any change of the rules below.
@@ -76,7 +76,8 @@ class BlobLedger:
 
         Only blobs with findings are joined, and a blob that many rows hold is split by Spark's skew join.
         """
-        found = self.entries().where((F.col("rules") == rules) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+        found = self.entries().where((F.col("rules") == rules) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+        found = saved(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "findings")
         rows = versions.withColumn("_at", address(text)).drop(text)
         out = rows.join(found, F.col("_at") == F.col("_blob"), "left")
         none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
