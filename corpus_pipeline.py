@@ -1,13 +1,74 @@
-"""A corpus pipeline of training-data operators; stages are added below."""
+"""A corpus pipeline: toxicity, near-duplicate removal, redaction, source mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return
+the columns of documents. run() writes each stage's rows to the folder that all
+executors share and reads them again, so a lost executor costs at most one stage's tasks.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailstrata.llm import bpe, jaccard, mixing, pii, toxicity
+from mailstrata.llm.common import saved, small
+
+#: Near duplicates: words of a shingle and percent of Jaccard similarity.
+WORDS, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on labelled rows outside the held-out fold, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return toxicity.classify(scored, labels).where(F.col("predicted") == 0).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; a repeated row stays once.
+
+    Documents without words are linked with nothing and stay, as do rows without an id, which no link can name.
+    """
+    links = saved(jaccard.link_documents(docs, WORDS, PERCENT), "links").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    gone = saved(links.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = saved(links.groupBy(F.col("doc_id").alias("_again")).count().where(F.col("count") > 1).select("_again"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its source takes it."""
+    return mixing.apply_mix(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its number of tokens and the digests of its ids and of the bytes they decode to."""
+    return bpe.encode(docs, *bpe.production(), digest=True).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("pii", redact_pii),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
+
+#: The classifier can't be expressed in SQL; tests hold the stages against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

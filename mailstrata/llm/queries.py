@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, pii, secret_scan, sharding, topk, toxicity
+from . import ann, bpe, jaccard, mixing, pii, secret_scan, sharding, substring, topk, toxicity
 
 QUERIES = {
     "op1_anisotropic_ann": ann.op1_anisotropic_ann,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_flow_resharding": sharding.op10_flow_resharding,
