@@ -37,6 +37,8 @@ from .shingles import fingerprint, shingle_sets
 
 #: Documents of a region that one task joins, document pivots in turn, documents of a block after that, shingles that one task counts or joins.
 CELL, ROUNDS, BLOCK, TASK_SHINGLES = 2048, 3, 1024, 1 << 20
+#: Characters of text whose shingles a worker holds at once.
+CHUNK = 4 << 20
 SHARED = "doc_id long, n long, f1 long, f2 long, shared long"
 
 
@@ -44,6 +46,14 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _chunks(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
+    """b in parts of about CHUNK characters, one row at least."""
+    upto = b[text].str.len().fillna(0).cumsum().to_numpy(np.int64)
+    part = upto // CHUNK
+    for i in np.unique(part):
+        yield b[part == i].reset_index(drop=True)
+
+
 def shared_counts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n (distinct shingles), fingerprints f1 and f2, and how many of its shingles another row holds, or may hold."""
     spark = docs.sparkSession
@@ -52,24 +62,26 @@ def shared_counts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        for part, b in enumerate(batches):
-            chunk = (TaskContext.get().partitionId() << 24) + part
+        parts = (part for b in batches for part in _chunks(b, text))
+        for number, b in enumerate(parts):
+            chunk = (TaskContext.get().partitionId() << 32) + number
             sets = shingle_sets(list(b[text]), k)
             n = np.array([len(s) for s in sets], np.int64)
-            tokens, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), n)
+            prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            tokens, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+            del sets
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             first = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
             times = np.diff(np.r_[np.flatnonzero(first), len(tokens)])
             several = np.repeat(times > 1, times)
-            here = np.bincount(owner[several], minlength=len(sets))
-            own, tokens = np.where(several, len(sets), owner)[first], tokens[first]
-            bucket = ((tokens >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            here = np.bincount(owner[several], minlength=len(n))
+            own, tokens = np.where(several, np.int32(len(n)), owner)[first], tokens[first]
+            bucket = ((tokens >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((own, bucket))
             own, tokens, bucket = own[order], tokens[order].astype(np.uint32), bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(int(i), chunk, _blob(tokens[a:z]), _blob(np.bincount(own[a:z], minlength=len(sets) + 1).astype(np.uint32))) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-            prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            rows = [(int(i), chunk, _blob(tokens[a:z]), _blob(np.bincount(own[a:z], minlength=len(n) + 1).astype(np.uint32))) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
             missing = b["doc_id"].isna().to_numpy()
             side = np.stack([b["doc_id"].fillna(0).to_numpy(np.int64), missing.astype(np.int64), n, prints[:, 0], prints[:, 1], here])
             rows.append((buckets + chunk % buckets, chunk, _blob(side), b""))
