@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import assessment, models, pages, relations, streams
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+_PLANS = (assessment, models, pages, relations, streams)
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    """The posture score of every session: rules, units, weights, coverage, band."""
+    return QUERIES["posture_score"](spark, sf_dir)
