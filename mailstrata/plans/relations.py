@@ -61,7 +61,7 @@ def fingerprint_compare(t):
     return intel.compare(pick(F.min), pick(F.max), "entity")
 
 
-@query(f"WITH {PRINTS_SQL} SELECT entity, count(DISTINCT session) AS n_session, count(DISTINCT capture) AS n_capture, count(DISTINCT leaf_sha256) AS n_leaf_sha256, count(DISTINCT sni) AS n_sni, count(DISTINCT fingerprint_id) AS n_fingerprint_id, min(at) AS first_at, max(at) AS last_at FROM fp GROUP BY entity")
+@query(f"WITH {PRINTS_SQL} SELECT entity, count(DISTINCT session) AS n_session, count(DISTINCT capture) AS n_capture, count(DISTINCT leaf_sha256) AS n_leaf_sha256, count(DISTINCT sni) AS n_sni, count(DISTINCT fingerprint_id) AS n_fingerprint_id, min(\"at\") AS first_at, max(\"at\") AS last_at FROM fp GROUP BY entity")
 def entities(t):
     return intel.entities(intel.fingerprints(settings(t)), ["entity"], ["session", "capture", "leaf_sha256", "sni", "fingerprint_id"], "at")
 
@@ -96,7 +96,7 @@ def shared_certificates(t):
 
 
 def _groups(kind: str, basis: str, source: str) -> str:
-    return f"""SELECT '{kind}' AS kind, {basis}::VARCHAR AS basis, count(DISTINCT session_id) AS sessions, count(DISTINCT capture_id) AS captures, min(at) AS first_at, max(at) AS last_at,
+    return f"""SELECT '{kind}' AS kind, {basis}::VARCHAR AS basis, count(DISTINCT session_id) AS sessions, count(DISTINCT capture_id) AS captures, min("at") AS first_at, max("at") AS last_at,
   'corr-' || substr(sha256('{kind}|' || {basis}::VARCHAR || '|sessions=' || array_to_string(list_sort(list_distinct(list(session_id))), ',') || '|captures=' || array_to_string(list_sort(list_distinct(list(capture_id))), ',')), 1, 12) AS correlation_id
 FROM {source} GROUP BY {basis} HAVING count(DISTINCT session_id) >= 2"""
 
@@ -116,7 +116,7 @@ def endpoint_divergence(t):
 _DRIFTS = " UNION ALL ".join(f"""SELECT entity, '{k}' AS kind, "_{k}" AS before, "{k}" AS after, {str(s).lower()} AS sensitive, offer, _offer, session, _session FROM p""" for k, s in intel.DRIFTS.items())
 
 
-@query(f"""WITH {SETTINGS_SQL}, f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY at, session) = 1),
+@query(f"""WITH {SETTINGS_SQL}, f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY "at", session) = 1),
 p AS (SELECT *, lag(offer) OVER w AS _offer, lag(session) OVER w AS _session, {', '.join(f'lag("{k}") OVER w AS "_{k}"' for k in intel.DRIFTS)}, row_number() OVER w AS i FROM f WINDOW w AS (PARTITION BY entity ORDER BY period) QUALIFY i > 1), u AS ({_DRIFTS})
 SELECT entity, kind, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'NOT_COMPARABLE' WHEN before = after THEN 'UNCHANGED_WITH_EVIDENCE' WHEN sensitive AND offer IS DISTINCT FROM _offer THEN 'INCONCLUSIVE' ELSE 'OBSERVED_CHANGE' END AS status,
   'drift-' || substr(sha256(entity || '|' || kind || '|' || coalesce(before, 'None') || '|' || coalesce(after, 'None') || '|' || _session || '|' || session), 1, 12) AS drift_id FROM u""")
@@ -138,7 +138,7 @@ def score_drift(t):
 
 EVENTS_SQL = """ev AS (SELECT 'cap' AS capture_id, 'u' || user_id AS session_id, event_type AS kind, event_id::VARCHAR AS anchor, CASE WHEN event_id % 50 = 0 THEN NULL ELSE epoch_us(ts) END AS at FROM events
 UNION ALL SELECT 'cap', 'c' || o_custkey, 'ORDER', o_orderkey::VARCHAR, epoch_us(o_orderdate) FROM orders UNION ALL SELECT 'cap', NULL, 'LINE', l_orderkey || '-' || l_linenumber, max(epoch_us(l_shipdate)) FROM lineitem GROUP BY l_orderkey, l_linenumber),
-tl AS (SELECT 'evt-' || substr(sha256(capture_id || '|' || coalesce(session_id, '') || '|' || kind || '|' || anchor), 1, 12) AS event_id, session_id, kind, anchor, at, coalesce(session_id, '') AS skey FROM ev)"""
+tl AS (SELECT 'evt-' || substr(sha256(capture_id || '|' || coalesce(session_id, '') || '|' || kind || '|' || anchor), 1, 12) AS event_id, session_id, kind, anchor, "at", coalesce(session_id, '') AS skey FROM ev)"""
 
 
 def _events(t):
@@ -151,18 +151,18 @@ def _events(t):
     return intel.with_event_ids(x).withColumn("skey", ids.text("session_id"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, kind, anchor, at, row_number() OVER (ORDER BY at NULLS LAST, skey, kind, anchor) - 1 AS order_index FROM tl")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, kind, anchor, \"at\", row_number() OVER (ORDER BY \"at\" NULLS LAST, skey, kind, anchor) - 1 AS order_index FROM tl")
 def timeline(t):
     return intel.timeline(_events(t), "at", ["skey", "kind", "anchor"]).select("event_id", "kind", "anchor", "at", F.col("order_index").cast("long").alias("order_index"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, kind, anchor, row_number() OVER (ORDER BY at NULLS LAST, skey, kind, anchor) - 1 AS order_index, true AS truncated FROM tl QUALIFY order_index < 200")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, kind, anchor, row_number() OVER (ORDER BY \"at\" NULLS LAST, skey, kind, anchor) - 1 AS order_index, true AS truncated FROM tl QUALIFY order_index < 200")
 def timeline_topk(t):
     return intel.timeline(_events(t), "at", ["skey", "kind", "anchor"], 200).select("event_id", "kind", "anchor", "order_index", "truncated")
 
 
 @query(f"""WITH {REACH_SQL}, d AS (SELECT rule_id, string_agg(protocol || '=' || n, ',' ORDER BY protocol || '=' || n) AS protocols FROM (SELECT rule_id, protocol, count(*) AS n FROM reach GROUP BY ALL) GROUP BY rule_id)
-SELECT rule_id, count(DISTINCT session_id) AS sessions, count(DISTINCT entity) AS entities, count(DISTINCT capture_id) AS captures, count(*) AS members, min(at) AS first_at, max(at) AS last_at, any_value(protocols) AS protocols FROM reach JOIN d USING (rule_id) GROUP BY rule_id""")
+SELECT rule_id, count(DISTINCT session_id) AS sessions, count(DISTINCT entity) AS entities, count(DISTINCT capture_id) AS captures, count(*) AS members, min("at") AS first_at, max("at") AS last_at, any_value(protocols) AS protocols FROM reach JOIN d USING (rule_id) GROUP BY rule_id""")
 def blast_radius(t):
     return intel.blast_radius(reach(t), "rule_id", "session_id", "entity", "capture_id", "protocol", "at")
 

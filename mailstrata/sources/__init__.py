@@ -1 +1 @@
-
+"""Capture files as tables: formats, packets, sessions."""
