@@ -1 +1 @@
-
+"""Sessions over streams."""
