@@ -83,7 +83,7 @@ def encode_text(enc, text: str | None) -> list[int]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", digest: bool = False) -> DataFrame:
     """docs with ids array<int> (digest: with n_tokens, ids_sha256, decoded_sha256 instead).
 
-    A null or empty text has no ids. Rows and all other columns stay as they are.
+    A null or empty text has no ids. Rows, repeated ones too, and all other columns stay as they are, but those named like a new one, which it replaces.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(rank_bytes(ranks_path))
@@ -110,7 +110,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
                 rows.append((len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("_d", digest_of(F.col(text))).select(*[F.col(c) for c in docs.columns], "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return docs.withColumn("_d", digest_of(F.col(text))).select(*[F.col(c) for c in docs.columns if c not in made], *[f"_d.{c}" for c in made])
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
