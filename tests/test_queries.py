@@ -64,13 +64,15 @@ def test_streaming_sessions_agree_with_batch(spark, tmp_path):
 
 
 def test_outcomes_are_never_null(spark):
+    from pyspark.sql import functions as F
+
     from mailstrata.operators import rules
     from mailstrata.plans import assessment
     from mailstrata.plans.registry import Tables
 
     facts = assessment.facts(Tables(spark, SF))
-    empty = facts.select(*[(facts[c] if c in ("capture_id", "session_id") else facts[c].cast(facts.schema[c].dataType)).alias(c) for c in facts.columns]).limit(1)
-    nulls = spark.createDataFrame([tuple("x" if f.name in ("capture_id", "session_id") else None for f in empty.schema.fields)], empty.schema)
+    value = lambda f: F.lit("x") if f.name in ("capture_id", "session_id") else F.lit(None).cast(f.dataType)
+    nulls = spark.range(1).select(*[value(f).alias(f.name) for f in facts.schema.fields])
     got = rules.evaluate(nulls).collect()
     assert len(got) == 25 and all(r["outcome"] in ("NOT_APPLICABLE", "UNKNOWN") for r in got)
     assert rules.score(rules.units(rules.evaluate(nulls)), ["session_id"]).first()["status"] == "SCORE_UNAVAILABLE"
