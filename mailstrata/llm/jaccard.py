@@ -38,7 +38,7 @@ from .shingles import fingerprint, shingle_sets
 #: Documents of a region that one task joins, document pivots in turn, documents of a block after that, shingles that one task counts or joins.
 CELL, ROUNDS, BLOCK, TASK_SHINGLES = 2048, 3, 1024, 1 << 20
 #: Characters of text whose shingles a worker holds at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SHARED = "doc_id long, n long, f1 long, f2 long, shared long"
 
 
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str = "text") -> D
     """cid, n, tokens binary of wanted (cid, n, f1, f2): the sorted shingles of the row of docs with that id and fingerprint."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for whole in batches for part in _chunks(whole, text)):
             sets = shingle_sets(list(b[text]), k)
             fits = [len(s) == n and fingerprint(s) == (f1, f2) for s, n, f1, f2 in zip(sets, b["n"], b["f1"], b["f2"], strict=True)]
             yield pd.DataFrame({"cid": b["cid"][fits], "n": b["n"][fits], "tokens": [_blob(s) for s, ok in zip(sets, fits, strict=True) if ok]})
@@ -139,7 +139,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """cid, n, token: of each set the rarest shingles that others hold, as many as a partner may lack plus one, less those no other holds."""
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[i : i + 250] for whole in batches for i in range(0, len(whole), 250)):
             tokens = np.frombuffer(b"".join(b["tokens"]), np.int64)
             yield pd.DataFrame({"cid": np.repeat(b["cid"].to_numpy(), b["n"]), "n": np.repeat(b["n"].to_numpy(), b["n"]), "token": tokens})
 

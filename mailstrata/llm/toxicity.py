@@ -33,7 +33,7 @@ GRAM, MIN_RATIO, MIN_SHARE = 5, 8.0, 0.005
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, FAR, THRESHOLD = 8_000, 16_000, 5, 64, 9, 0.3
 ANCHOR = b"\x01<~anchor~window~>\x01"
 STRIP = ".,;:!?\"'()[]"
-CACHED = 400_000
+CACHED = 200_000
 
 _scorers: dict = {}
 
