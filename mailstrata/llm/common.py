@@ -28,7 +28,7 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mailstrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
