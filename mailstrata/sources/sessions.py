@@ -94,19 +94,36 @@ def _row(session: tcp.Session, packets: list[dict]) -> dict:
     return row
 
 
+def _rows(flow, packets: list[dict], budget: int) -> list[dict]:
+    return [{"capture_id": flow[0], "flow_id": flow[1]} | _row(s, packets) for s in tcp.sessions_of(packets, budget)] if packets else []
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS, dtype=object).where(lambda x: x.notna(), None)
+
+
 def assemble(packets: DataFrame, budget: int = 16 << 20) -> DataFrame:
     """Sessions of dissected packets: one row each, with ids."""
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("packet_number").to_dict("records")
-        out = []
-        for s in tcp.sessions_of(ordered, budget):
-            out.append({"capture_id": key[0], "flow_id": key[1]} | _row(s, ordered))
-        return pd.DataFrame(out).reindex(columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+    def walk(batches):
+        """Flows follow one another and may go on in the next batch; only one flow's packets are held."""
+        flow, held, out = None, [], []
+        for b in batches:
+            for p in b.to_dict("records"):
+                key = (p["capture_id"], p["flow_id"])
+                if key != flow:
+                    out += _rows(flow, held, budget)
+                    flow, held = key, []
+                held.append(p)
+            if len(out) >= 500:
+                yield _frame(out)
+                out = []
+        yield _frame(out + _rows(flow, held, budget))
 
     keyed = packets.where("outcome = 'TCP'").withColumn("flow_id", flow_id(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port")))
     need = ["capture_id", "flow_id", "packet_number", "ts_ns", "src", "src_port", "dst", "dst_port", "seq", "ack", "flags", "payload", "payload_len"]
-    made = keyed.select(*need).groupBy("capture_id", "flow_id").applyInPandas(walk, SESSION)
+    dealt = keyed.select(*need).repartition("capture_id", "flow_id").sortWithinPartitions("capture_id", "flow_id", "packet_number")
+    made = dealt.mapInPandas(walk, SESSION)
     return made.withColumn("session_id", session_id(F.col("capture_id"), F.col("flow_id"), F.col("instance")))
 
 
