@@ -144,6 +144,42 @@ def test_repeated_passages_are_found(spark):
     assert 1 - (1 - 0.8**r) ** b >= substring.RECALL
 
 
+def test_near_copies_of_short_paragraphs_are_found(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    texts, wanted = [], {}
+    for n in range(8, 25):  # a near copy has one word more, so lengths from 8 to 25 meet, also across the bound of the bands
+        for _ in range(6):
+            near = [word() for _ in range(n)]
+            whole = " ".join(word() for _ in range(30)) + "."
+            for head in ("", word() + " "):
+                wanted[len(texts)] = (len(texts) // 2, n + bool(head))
+                texts.append(f"{whole} {head}{' '.join(near)}. {' '.join(word() for _ in range(40))}.")
+    got = collections.defaultdict(set)
+    for r in substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["words"])
+    assert got == {d: {30, n} for d, (_, n) in wanted.items()}
+
+
+def test_every_near_pair_of_short_paragraphs_shares_a_band():
+    rng = random.Random(8)
+    n_bands, n_rows = substring.tuned_bands(0.8)
+    pairs = 0
+    for _ in range(4000):
+        a = [f"w{rng.randrange(6000)}" for _ in range(rng.randrange(5, 20))]
+        b = list(a) + [f"x{rng.randrange(9)}" for _ in range(rng.randrange(0, 4))]
+        if rng.random() < 0.3:
+            b[0] = "y"
+        if rng.random() < 0.2:  # one shingle again and again: other sequence, same set
+            a, b = ["z"] * rng.randrange(5, 9), ["z"] * rng.randrange(9, 12)
+        x, y = _set(" ".join(a), 5), _set(" ".join(b), 5)
+        if a != b and 100 * len(x & y) >= 80 * len(x | y):
+            p, q = substring._signatures([w for _, w in shingles.word_hashes([" ".join(a), " ".join(b)])], n_bands, n_rows)[2]
+            assert set(p) & set(q)
+            pairs += 1
+    assert pairs > 500
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
