@@ -7,7 +7,10 @@ to the vector, which shifts its large inner products, costs ETA times the part a
 A scan adds up, for each query, entries of a table of 256 sums per pair of codes; the best
 SHORTLIST rows of each query are then scored on the original vectors.
 
-Centres are fitted on TRAIN rows; every row is coded and scanned. Ids' hashes deal codes and
+Rows with one vector are one class: its smallest id is coded, scanned and scored for all, so copies fill no
+shortlist, and the nearest classes' members are joined back, as many of each as a result can hold.
+
+Centres are fitted on TRAIN distinct vectors; every one is coded and scanned. Ids' hashes deal codes and
 queries to blocks, so no key and no cluster makes a task larger.
 """
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 from .vectors import blocks, sampled, spread, stacked, usable
 
 #: Rows that centres are fitted on, rounds of fitting, cosine from which scores matter, candidates reranked for a query, codes and queries of a block.
@@ -119,6 +122,13 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, listed: int = SHORTL
     queries or candidates there are no rows.
     """
     schema = "query_id long, vec_id long, score double"
+    # k + 1 smallest ids of every vector are enough for any query, which can only be one of them
+    of_vector = Window.partitionBy("v").orderBy("vec_id")
+    members = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("_n", F.row_number().over(of_vector)).where(F.col("_n") <= k + 1)
+    members = saved(members.withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))), "ann-members")
+    rows = members.where(F.col("_n") == 1).select("vec_id", "v")
+    asked = saved(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
+    queries = saved(asked.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v"), "ann-asked")
     n, n_queries = rows.count(), queries.count()
     _, sample = sampled(rows, TRAIN)
     if not len(sample):
@@ -144,9 +154,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, listed: int = SHORTL
                 scores = -half
                 for byte, sums in zip(packed, table, strict=True):
                     scores = scores + sums[byte]
-                scores[ids == query_id] = -np.inf
-                best = shortlist(scores, listed)
-                best = best[ids[best] != query_id]
+                best = shortlist(scores, listed + 1)  # one more, since the query's own vector is among them
                 out_q.append(np.full(len(best), query_id))
                 out_c.append(ids[best])
                 out_s.append(scores[best])
@@ -157,15 +165,23 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, listed: int = SHORTL
     right = spread(queries, "_part", parts, "_block", n_blocks, 2).groupBy("_block", "_part")
     found = left.cogroup(right).applyInPandas(scanned, schema)
     by_table = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    short = found.withColumn("_at", F.row_number().over(by_table)).where(F.col("_at") <= listed).select("query_id", "vec_id")
+    short = found.withColumn("_at", F.row_number().over(by_table)).where(F.col("_at") <= listed + 1).select("query_id", "vec_id")
     # exact reranking on the original vectors
-    vectors = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    with_c = short.join(vectors, "vec_id")
-    with_q = with_c.join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "query_id")
+    with_c = short.join(rows, "vec_id")
+    with_q = with_c.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     squares = F.zip_with("v", "q", lambda a, b: (a - b) * (a - b))
-    exact = with_q.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    exact = with_q.select("query_id", F.col("vec_id").alias("rep"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    # a class's members come after its smallest id, so the k + 1 nearest rows are members of the k + 1 nearest classes
+    best = Window.partitionBy("query_id").orderBy(F.asc("score"), F.asc("rep"))
+    classes = exact.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k + 1).select("query_id", "rep", "score")
     nearest = Window.partitionBy("query_id").orderBy(F.asc("score"), F.asc("vec_id"))
-    return exact.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    opened = classes.join(members.select("rep", "vec_id"), "rep").withColumn("_at", F.row_number().over(nearest)).where(F.col("_at") <= k + 1)
+    lists = saved(opened.groupBy(F.col("query_id").alias("asked")).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "ann-lists")
+    # every query takes the list of its vector, less itself
+    named = small(queries.select(F.col("vec_id").alias("asked"), "v"))
+    own = asked.join(named, "v").select(F.col("vec_id").alias("query_id"), "asked").join(small(lists), "asked")
+    own = own.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    return own.select("query_id", F.posexplode("near").alias("_at", "x")).select("query_id", (F.col("_at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op1_anisotropic_ann(spark, sf_dir: str) -> DataFrame:

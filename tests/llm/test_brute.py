@@ -101,6 +101,24 @@ def test_ann_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_ann_recall_among_copies(spark):
+    x = {r["vec_id"]: np.array(r["v"]) for r in vectors.usable(spark.read.parquet(f"{SF}/embeddings.parquet")).collect()}
+    hot = x[min(x)]
+    asked = sorted(x, key=lambda i: ((x[i] - hot) ** 2).sum())[:30]
+    x |= {1_000_000 + i: hot for i in range(len(x) // 2)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, v array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(rows, rows.where(rows.vec_id.isin([*asked, 1_000_003])), 10, listed=40).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = 0
+    for q in [*asked, 1_000_003]:
+        d = {i: float(np.sqrt(((v - x[q]) ** 2).sum())) for i, v in x.items() if i != q}
+        best = sorted(d, key=lambda i: (d[i], i))[:10]
+        assert len(got[q]) == 10 and all(i != q and abs(d[i] - s) < 1e-12 for i, s in got[q])
+        hit += len(set(best) & {i for i, _ in got[q]})
+    assert hit / (10 * len(got)) >= 0.95
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(5)
     for _ in range(20):
