@@ -17,10 +17,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, saved
+from .common import BROADCAST_ROWS, saved, shared_dir
 
-#: New shards, old shards, blocks of an old shard, bytes that a row costs besides its text.
-SHARDS, OLD_SHARDS, BLOCKS, ROW_BYTES = 40, 32, 1024, 16
+#: New shards, old shards, blocks of an old shard, bytes that a row costs besides its text, tasks that may write one shard.
+SHARDS, OLD_SHARDS, BLOCKS, ROW_BYTES, WRITERS = 40, 32, 1024, 16, 64
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -117,17 +117,31 @@ def _evened(sizes, chosen, load):
     return chosen
 
 
-def reshard(docs: DataFrame, new: int = SHARDS, old: int = OLD_SHARDS, blocks: int = BLOCKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot for every row; slots of a shard go from 0 without gaps.
+def _content(text: str) -> F.Column:
+    return F.coalesce(F.col(text), F.lit(""))
 
-    A null text has no bytes and the CRC of an empty one. Rows that agree in id and text are
-    interchangeable and stay in one block. An empty table gives no rows.
-    """
-    if old * blocks > BROADCAST_ROWS:
-        raise ValueError(f"the plan of {old * blocks} blocks is sent to every task; at most {BROADCAST_ROWS} are")
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(content) + ROW_BYTES).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(content), F.lit(old)).cast("int").alias("old_shard"))
-    rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")), "shard-rows")
+
+def _crc(text: str) -> F.Column:
+    return F.crc32(_content(text).cast("binary"))
+
+
+def _old_shard(text: str, old: int) -> F.Column:
+    return F.pmod(F.xxhash64(_content(text)), F.lit(old)).cast("int")
+
+
+def _block(doc_id: str, text: str, blocks: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(doc_id), _crc(text)), F.lit(blocks)).cast("int")
+
+
+def _slim(docs: DataFrame, old: int, blocks: int, text: str, doc_id: str, *more: str) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, block and the columns more of every row, saved."""
+    size = (F.octet_length(_content(text)) + ROW_BYTES).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), _crc(text).alias("text_crc32"), _old_shard(text, old).alias("old_shard"), _block(doc_id, text, blocks).alias("block"), *more)
+    return saved(rows, "shard-rows")
+
+
+def _plan(rows: DataFrame, new: int, old: int) -> DataFrame:
+    """old_shard, block, shard, first (slot) of every block of rows (see _slim)."""
     held = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     chosen = assign_blocks({(r["old_shard"], r["block"]): r["size"] for r in held}, old, new)
     plan, at = [], [0] * new
@@ -135,10 +149,47 @@ def reshard(docs: DataFrame, new: int = SHARDS, old: int = OLD_SHARDS, blocks: i
         j = chosen[r["old_shard"], r["block"]]
         plan.append((r["old_shard"], r["block"], j, at[j]))
         at[j] += r["rows"]
-    table = docs.sparkSession.createDataFrame(plan, "old_shard int, block int, shard int, first long")
+    return rows.sparkSession.createDataFrame(plan, "old_shard int, block int, shard int, first long")
+
+
+def _slots(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with the columns of their block's plan and slot."""
     inside = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(table), ["old_shard", "block"])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("_n")).alias("slot"))
+    placed = rows.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(plan), ["old_shard", "block"])
+    return placed.withColumn("slot", F.col("first") + F.col("_n"))
+
+
+def _bounded(old: int, blocks: int) -> None:
+    if old * blocks > BROADCAST_ROWS:
+        raise ValueError(f"the plan of {old * blocks} blocks is sent to every task; at most {BROADCAST_ROWS} are")
+
+
+def reshard(docs: DataFrame, new: int = SHARDS, old: int = OLD_SHARDS, blocks: int = BLOCKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot for every row; slots of a shard go from 0 without gaps.
+
+    A null text has no bytes and the CRC of an empty one. Rows that agree in id and text are
+    interchangeable and stay in one block. An empty table gives no rows.
+    """
+    _bounded(old, blocks)
+    rows = _slim(docs, old, blocks, text, doc_id)
+    return _slots(rows, _plan(rows, new, old)).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+
+
+def reshard_files(docs: DataFrame, path: str, new: int = SHARDS, old: int = OLD_SHARDS, blocks: int = BLOCKS) -> DataFrame:
+    """What reshard gives for docs (doc_id, text), carried out: old shards are written under path, the affected ones rewritten, and every column comes from the files then in force."""
+    _bounded(old, blocks)
+    spark = docs.sparkSession
+    write_shards(docs.withColumn("old_shard", _old_shard("text", old)), path, "old_shard")
+    plan = _plan(_slim(read_shards(spark, path, docs.schema), old, blocks, "text", "doc_id"), new, old)
+    affected = {r[0] for r in plan.where("old_shard != shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect()}
+
+    def moved(rows: DataFrame) -> DataFrame:
+        keyed = rows.drop("shard").withColumns({"old_shard": _old_shard("text", old), "block": _block("doc_id", "text", blocks)})
+        return keyed.join(F.broadcast(plan.drop("first")), ["old_shard", "block"]).select(*docs.columns, "shard")
+
+    _rewrite(spark, path, affected, moved, docs.schema)
+    rows = _slim(read_shards(spark, path, docs.schema), old, blocks, "text", "doc_id", "shard")
+    return _slots(rows, plan.drop("shard")).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
 MANIFEST = "shard int, path string"
@@ -149,37 +200,48 @@ def write_shards(rows: DataFrame, path: str, shard: str) -> None:
     _write(rows.sparkSession, rows.withColumnRenamed(shard, "shard"), path, {})
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """All rows of the present generation, with shard."""
-    manifest = _manifest(spark, path)
-    parts = [spark.read.parquet(p).withColumn("shard", F.lit(s)) for s, p in sorted(manifest.items())]
-    out = parts[0]
+def read_shards(spark, path: str, schema=None, only: set[int] | None = None) -> DataFrame:
+    """All rows of the present generation (only: of these shards), with shard. An empty one needs the schema of its rows."""
+    found = sorted((s, p) for s, p in _manifest(spark, path).items() if only is None or s in only)
+    reader = spark.read.schema(schema) if schema else spark.read
+    parts = [reader.parquet(p).withColumn("shard", F.lit(s)) for s, p in found]
+    out = parts[0] if parts else spark.createDataFrame([], schema).withColumn("shard", F.lit(0))
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
 
 
-def rewrite_affected(spark, path: str, moves: DataFrame) -> list[int]:
+def rewrite_affected(spark, path: str, moves: DataFrame, text: str = "text") -> list[int]:
     """Rewrite the files of the shards that lose or gain rows; the others' files stay. Returns the shards rewritten.
 
-    moves: doc_id, old_shard, shard. New files go to a folder of their own and the manifest, written last,
+    moves: doc_id (null too), old_shard, text_crc32, shard, as reshard gives them; one shard holds all rows that agree in the first
+    three, since they are of one block. New files go to a folder of their own and the manifest, written last,
     turns to them; an interrupted run leaves the old generation in force.
     """
     changed = moves.where(F.col("old_shard") != F.col("shard"))
     affected = {r[0] for r in changed.select("old_shard").union(changed.select("shard")).distinct().collect()}
-    if not affected:
-        return []
-    manifest = _manifest(spark, path)
-    rows = read_shards(spark, path)
-    rows = rows.where(F.col("shard").isin(sorted(affected))).withColumnRenamed("shard", "old_shard").join(moves.select("doc_id", "old_shard", "shard").distinct(), ["doc_id", "old_shard"])
-    _write(spark, rows.drop("old_shard"), path, {s: p for s, p in manifest.items() if s not in affected})
+    to = moves.select(F.col("doc_id").alias("_id"), F.col("old_shard").alias("_old"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_to")).distinct()
+
+    def moved(rows: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("shard") == F.col("_old")) & (_crc(text) == F.col("_crc"))
+        return rows.join(to, same).drop("shard", "_id", "_old", "_crc").withColumnRenamed("_to", "shard")
+
+    return _rewrite(spark, path, affected, moved)
+
+
+def _rewrite(spark, path: str, affected: set[int], moved, schema=None) -> list[int]:
+    if affected:
+        rows = moved(read_shards(spark, path, schema, affected))
+        _write(spark, rows, path, {s: p for s, p in _manifest(spark, path).items() if s not in affected})
     return sorted(affected)
 
 
 def _write(spark, rows: DataFrame, path: str, kept: dict[int, str]) -> None:
     generation = f"{path}/generation-{uuid.uuid4().hex}"
-    rows.repartition("shard").write.partitionBy("shard").parquet(generation)
-    shards = [r[0] for r in spark.read.parquet(generation).select("shard").distinct().collect()]
+    # a shard is written by several tasks, copies of one text among them by their ids
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(WRITERS))
+    rows.repartition("shard", part).write.option("compression", "zstd").partitionBy("shard").parquet(generation)
+    shards = [r[0] for r in spark.read.schema(rows.schema).parquet(generation).select("shard").distinct().collect()]
     now = kept | {s: f"{generation}/shard={s}" for s in shards}
     spark.createDataFrame(sorted(now.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -190,5 +252,5 @@ def _manifest(spark, path: str) -> dict[int, str]:
 
 def op10_flow_resharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = reshard(docs)
+    out = reshard_files(docs, f"{shared_dir(spark)}/mailstrata/shards-{uuid.uuid4().hex}")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

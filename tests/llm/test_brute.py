@@ -146,6 +146,34 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     assert got == {r["doc_id"]: r["shard"] for r in moves.collect()}
 
 
+def test_rewritten_shards_keep_null_and_repeated_ids(spark, tmp_path):
+    data = [(None if i % 5 == 0 else i % 7, None if i % 11 == 0 else f"text {i % 40}") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    content = lambda rows: collections.Counter((r["doc_id"], r["text"], r["shard"]) for r in rows)
+    moves = sharding.reshard(docs, new=6, old=4, blocks=16)
+    filled = sharding.F.coalesce("text", sharding.F.lit(""))
+    crc = sharding.F.crc32(filled.cast("binary"))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs.withColumn("old_shard", sharding.F.pmod(sharding.F.xxhash64(filled), sharding.F.lit(4)).cast("int")), path, "old_shard")
+    sharding.rewrite_affected(spark, path, moves)
+    want = collections.Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in moves.collect())
+    got = sharding.read_shards(spark, path)
+    assert collections.Counter((r["doc_id"], r["crc"], r["shard"]) for r in got.withColumn("crc", crc).collect()) == want
+    assert sum(content(got.collect()).values()) == len(data)
+
+
+def test_resharding_is_carried_out_on_files(spark, tmp_path):
+    data = [(None if i % 5 == 0 else i % 7, None if i % 11 == 0 else f"text {i % 40}") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    path = str(tmp_path / "shards")
+    got = sharding.reshard_files(docs, path, new=6, old=4, blocks=16)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, sharding.reshard(docs, new=6, old=4, blocks=16).collect()))
+    held = collections.Counter((r["doc_id"], r["text"]) for r in sharding.read_shards(spark, path).collect())
+    assert held == collections.Counter(data) and len(list((tmp_path / "shards").glob("generation-*"))) == 2
+    empty = sharding.reshard_files(docs.limit(0), str(tmp_path / "empty"))
+    assert empty.count() == 0 and empty.columns == got.columns
+
+
 def test_repeated_passages_are_found(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
