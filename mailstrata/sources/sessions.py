@@ -7,6 +7,7 @@ one task. A flow's kept bytes are bounded by the session budget.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ SESSION = (
 COLUMNS = [part.split()[0] for part in SESSION.replace(RUN, "x").replace(GAP, "x").replace(EVENT, "x").split(",")]
 
 
-def _merged_lines(runs: dict, packets: list[dict], session: tcp.Session):
+def _merged_lines(runs: dict, session: tcp.Session):
     """Lines of both directions in the order in which their last byte was captured."""
     arrived = {}
     for who, stream in session.streams.items():
@@ -47,7 +48,7 @@ def _merged_lines(runs: dict, packets: list[dict], session: tcp.Session):
     return sorted(out, key=lambda x: (x[5], x[0] == "s", x[2]))
 
 
-def _row(session: tcp.Session, packets: list[dict]) -> dict:
+def _row(session: tcp.Session) -> dict:
     facts = session.facts()
     runs, gaps, c, s = facts["runs"], facts["gaps"], session.streams["c"], session.streams["s"]
     total = lambda k: c.counts[k] + s.counts[k]
@@ -59,7 +60,7 @@ def _row(session: tcp.Session, packets: list[dict]) -> dict:
     }
     head = runs["c"][0][1][:3] if runs["c"] and runs["c"][0][0] == 0 else b""
     implicit = len(head) == 3 and head[0] == 22 and head[1] == 3 and head[2] <= 4
-    d = mail.Dialogue(mail.PORTS.get(session.server[1], "UNKNOWN")) if implicit else mail.parse(_merged_lines(runs, packets, session), session.server[1])
+    d = mail.Dialogue(mail.PORTS.get(session.server[1], "UNKNOWN")) if implicit else mail.parse(_merged_lines(runs, session), session.server[1])
     t = None
     if implicit:
         t = tls.analyse(runs["c"], runs["s"], 0, 0)
@@ -94,8 +95,17 @@ def _row(session: tcp.Session, packets: list[dict]) -> dict:
     return row
 
 
-def _rows(flow, packets: list[dict], budget: int) -> list[dict]:
-    return [{"capture_id": flow[0], "flow_id": flow[1]} | _row(s, packets) for s in tcp.sessions_of(packets, budget)] if packets else []
+def _walked(batches, budget: int):
+    """Frames of session rows. Flows follow one another and may go on in the next batch; a packet is dropped once its session has taken its bytes."""
+    packets = (p for b in batches for p in b.to_dict("records"))
+    out = []
+    for flow, own in itertools.groupby(packets, lambda p: (p["capture_id"], p["flow_id"])):
+        for s in tcp.walked(own, budget):
+            out.append({"capture_id": flow[0], "flow_id": flow[1]} | _row(s))
+            if len(out) >= 500:
+                yield _frame(out)
+                out = []
+    yield _frame(out)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -105,25 +115,10 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 def assemble(packets: DataFrame, budget: int = 16 << 20) -> DataFrame:
     """Sessions of dissected packets: one row each, with ids."""
 
-    def walk(batches):
-        """Flows follow one another and may go on in the next batch; only one flow's packets are held."""
-        flow, held, out = None, [], []
-        for b in batches:
-            for p in b.to_dict("records"):
-                key = (p["capture_id"], p["flow_id"])
-                if key != flow:
-                    out += _rows(flow, held, budget)
-                    flow, held = key, []
-                held.append(p)
-            if len(out) >= 500:
-                yield _frame(out)
-                out = []
-        yield _frame(out + _rows(flow, held, budget))
-
     keyed = packets.where("outcome = 'TCP'").withColumn("flow_id", flow_id(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port")))
     need = ["capture_id", "flow_id", "packet_number", "ts_ns", "src", "src_port", "dst", "dst_port", "seq", "ack", "flags", "payload", "payload_len"]
     dealt = keyed.select(*need).repartition("capture_id", "flow_id").sortWithinPartitions("capture_id", "flow_id", "packet_number")
-    made = dealt.mapInPandas(walk, SESSION)
+    made = dealt.mapInPandas(lambda batches: _walked(batches, budget), SESSION)
     return made.withColumn("session_id", session_id(F.col("capture_id"), F.col("flow_id"), F.col("instance")))
 
 

@@ -6,6 +6,7 @@ A flow's packets come sorted by number. Nothing here crosses a hole: runs are se
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
@@ -13,6 +14,14 @@ SERVICES = {25: "SMTP", 465: "SMTPS", 587: "SMTP", 143: "IMAP", 993: "IMAPS", 11
 HALF = 1 << 31
 
 
+def _join(spans: list[tuple[int, int]], a: int, b: int) -> None:
+    """Add a span, to the last one where they touch, so a long row of packets stays one span."""
+    if spans and spans[-1][0] <= a <= spans[-1][1]:
+        spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+    else:
+        spans.append((a, b))
+
+
 @dataclass
 class Stream:
     """One direction. offsets count from the first byte after SYN, or from the first byte seen."""
@@ -42,7 +51,7 @@ class Stream:
         start = self.extend(seq)
         end = start + len(payload)
         if declared > len(payload):
-            self.uncaptured.append((end, start + declared))
+            _join(self.uncaptured, end, start + declared)
         if not declared:
             return
         self.counts["segments"] += 1
@@ -68,12 +77,12 @@ class Stream:
         for a, b in new:
             size = grant(b - a)
             if size < b - a:
-                self.refused.append((a + size, b))
+                _join(self.refused, a + size, b)
             if size:
                 bisect.insort(self.starts, a)
                 self.parts[a] = (payload[a - start : a - start + size], packet)
                 stored += size
-        key = (start, payload)
+        key = (start, len(payload))  # what doesn't conflict and is covered has the stored bytes
         if conflict:
             kind = "CONFLICTING_OVERLAP"
         elif not new:
@@ -82,7 +91,8 @@ class Stream:
             kind = "DROPPED_LIMIT"
         else:
             kind = "PARTIAL_OVERLAP" if covered else "ACCEPTED"
-        self.seen.add(key)
+        if kind not in ("CONFLICTING_OVERLAP", "DROPPED_LIMIT"):  # these can never be covered without conflict later
+            self.seen.add(key)
         self.counts[kind] += 1
         self.counts["out_of_order"] += bool(behind and stored)
 
@@ -144,12 +154,16 @@ class Session:
 
 def sessions_of(packets, budget: int = 16 << 20) -> list[Session]:
     """packets: dicts of one flow, by packet_number. budget: bytes kept for a session, the rest becomes LIMIT_EXCEEDED."""
-    out: list[Session] = []
+    return list(walked(packets, budget))
+
+
+def walked(packets, budget: int = 16 << 20) -> Iterator[Session]:
+    """The sessions of sessions_of, each as soon as the next one begins; packets are read once and not kept."""
+    s: Session | None = None
     left = 0
     for p in packets:
         flags, src, dst = p["flags"], (p["src"], p["src_port"]), (p["dst"], p["dst_port"])
         bare = flags & SYN and not flags & ACK
-        s = out[-1] if out else None
         if s is None or bare and (s.syn is None or s.syn != p["seq"] or s.payload or s.closed() or s.fins):
             if bare:
                 client, server, basis = src, dst, "SYN"
@@ -159,8 +173,9 @@ def sessions_of(packets, budget: int = 16 << 20) -> list[Session]:
                 client, server, basis = (dst, src, "SERVICE_PORT") if src[1] in SERVICES else (src, dst, "SERVICE_PORT")
             else:
                 client, server, basis = src, dst, "FIRST_SENDER"
-            s = Session(len(out) + 1, p, p, client, server, basis)
-            out.append(s)
+            if s is not None:
+                yield s
+            s = Session(s.instance + 1 if s else 1, p, p, client, server, basis)
             left = budget
         who = "c" if src == s.client else "s"
         stream, other = s.streams[who], s.streams["s" if who == "c" else "c"]
@@ -189,4 +204,5 @@ def sessions_of(packets, budget: int = 16 << 20) -> list[Session]:
         if flags & FIN:
             s.fins.add(who)
         s.rst |= bool(flags & RST)
-    return out
+    if s is not None:
+        yield s

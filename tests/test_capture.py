@@ -184,3 +184,28 @@ def test_certificate_walk():
     assert x509.matches(c["names"], "mail.example.org") and not x509.matches(c["names"], "a.b.example.org")
     with pytest.raises(ValueError):
         x509.parse(cert[:40])
+
+
+def test_a_hot_flow_is_held_only_to_its_budget():
+    import tracemalloc
+
+    import pandas as pd
+
+    def batches():
+        for i in range(0, 10_000, 500):
+            rows = [("c", "f", n, n, "10.0.0.1", 4000, "10.0.0.2", 25, 1 + n * 10_000, 1, 16, bytes([n % 251]) * 10_000, 10_000) for n in range(i, i + 500)]
+            yield pd.DataFrame(rows, columns=["capture_id", "flow_id", "packet_number", "ts_ns", "src", "src_port", "dst", "dst_port", "seq", "ack", "flags", "payload", "payload_len"])
+
+    packets = (p for b in batches() for p in b.to_dict("records"))
+    tracemalloc.start()
+    try:
+        s = tcp.sessions_of(packets, 1 << 20)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        got = pd.concat(sessions._walked(batches(), 1 << 20))
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20  # 100 MB of payload, 5 MB of a batch
+    assert s.facts()["gaps"]["c"] == [(1 << 20, 100_000_000 - (1 << 20), "LIMIT_EXCEEDED")] and s.streams["c"].counts["DROPPED_LIMIT"] == 10_000 - 105
+    assert len(got) == 1 and got["packets"].iloc[0] == 10_000 and got["client_bytes"].iloc[0] == 1 << 20
