@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import digest, joined, matches
+from .spans import between, digest, fold, joined, segments, with_matches
 
 #: Characters of context on each side of a span, the score that context adds, and the score from which the method's own kinds count.
 AROUND, CONTEXT_BONUS, MIN_SCORE = 40, 0.3, 0.5
 BASE = ("email", "ip", "card", "phone")
+PIECE = "struct<at:int,start:int,end:int,kind:string>"
 #: kind: pattern, score before context, context words. A card is a whole chain of 13 to 19 digits, a phone a whole run of 9 to 15.
 KINDS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, r"(?i)mail|contact|write|send|reply"),
@@ -59,16 +60,16 @@ def _valid(kind: str, s):
     return alone if kind == "ssn" else F.lit(True)
 
 
-def spans_of(kind: str, text):
-    """Confirmed spans of one kind: array<struct<kind,start,end,hit,score>>."""
-    pattern, prior, words = KINDS[kind]
+def confirmed(kind: str, spans):
+    """The spans of one kind that pass its checks: array<struct<kind,start,end,hit,score>>."""
+    _, prior, words = KINDS[kind]
 
     def scored(s):
         near = s["before"].rlike(words) | s["after"].rlike(words)
         score = F.lit(prior) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.round(score, 2).alias("score"))
 
-    found = F.transform(F.filter(matches(text, pattern, AROUND), lambda s: _valid(kind, s)), scored)
+    found = F.transform(F.filter(spans, lambda s: _valid(kind, s)), scored)
     return found if kind in BASE else F.filter(found, lambda s: s["score"] >= MIN_SCORE)
 
 
@@ -79,8 +80,9 @@ def find_pii(docs: DataFrame, text: str = "text", kinds=tuple(KINDS)) -> DataFra
     whatever their score; the method's own kinds stay from MIN_SCORE on. Rows repeated are
     scanned alike; other columns stay unless they bear one of these names, which are replaced.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*[c for c in docs.columns if c not in {f"_{k}" for k in kinds}], *[spans_of(k, whole).alias(f"_{k}") for k in kinds])
+    found = with_matches(docs, F.coalesce(F.col(text), F.lit("")), {f"_{k}": KINDS[k][0] for k in kinds}, AROUND)
+    kept = [c for c in docs.columns if c not in {f"_{k}" for k in kinds}]
+    return found.select(*kept, *[confirmed(k, F.col(f"_{k}")).alias(f"_{k}") for k in kinds])
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,18 +90,24 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The columns stay the same, n_chars is counted anew where there is one; a null text stays null.
     """
-    found = find_pii(docs, text)
-    every = F.flatten(F.array(*[F.col(f"_{k}") for k in KINDS]))
+    found = find_pii(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text")
+    every = F.concat(*[F.col(f"_{k}") for k in KINDS])
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
 
-    def step(acc, s):
-        new = F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct((-s["minus_end"]).alias("at"), new.alias("out"))).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
-    out = found.withColumn("_spans", ordered).withColumn("_new", F.when(F.size("_spans") > 0, clean).otherwise(F.col(text)))
-    return out.select(*[F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    def step(at, s):
+        piece = F.struct(at.alias("at"), s["start"].alias("start"), (-s["minus_end"]).alias("end"), s["kind"].alias("kind"))
+        free = s["start"] >= at
+        return F.when(free, -s["minus_end"]).otherwise(at), F.when(free, F.array(piece)).otherwise(F.array().cast(f"array<{PIECE}>"))
+
+    rows = found.select("_row", "_text", ordered.alias("_spans"))
+    rows = rows.select("_row", "_text", fold(F.col("_spans"), F.lit(0), "int", PIECE, step).alias("_pieces"))
+    rows = rows.select("_row", "_text", "_pieces", F.when(F.size("_pieces") > 0, segments(F.col("_text"))).alias("_parts"))
+    parts, last = F.col("_parts"), F.element_at("_pieces", -1)["end"]
+    new = F.array_join(F.transform("_pieces", lambda p: F.concat(between(parts, p["at"], p["start"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))), "")
+    clean = F.when(F.size("_pieces") > 0, F.concat(new, between(parts, last, F.length("_text")))).otherwise(F.col("_text"))
+    rows = rows.select("_row", clean.alias("_new"))
+    columns = [F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return rows.select(*columns)
 
 
 def op2_pii_spans(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
-from .spans import digest, joined, matches
+from .common import saved, shared_dir, shuffles_removed, small
+from .spans import digest, joined, with_matches
 
 #: Named in the ledger: raise it with any change of the rules below.
 RULES_VERSION = "2026.1"
@@ -31,16 +31,16 @@ LEDGER = "blob string, rules string, spans array<struct<start:int,rank:int,end:i
 
 
 def scan(blobs: DataFrame, text: str = "text") -> DataFrame:
-    """blobs with spans: every finding by start, then by kind as listed."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    """blobs with spans: every finding by start, then by kind as listed; a null or empty text has none."""
 
     def of(rank: int, kind: str):
-        found = matches(whole, KINDS[kind], 1)
+        found = F.col(f"_{kind}")
         if kind == "assign":
             found = F.filter(found, lambda s: F.length(F.regexp_extract(s["hit"], KINDS["assign"], 2)) >= 12)
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    return blobs.withColumn("spans", F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)])))
+    found = with_matches(blobs, F.coalesce(F.col(text), F.lit("")), {f"_{k}": p for k, p in KINDS.items()}, 1)
+    return found.select(*[c for c in blobs.columns if c != "spans"], F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)])).alias("spans"))
 
 
 class BlobLedger:
@@ -60,16 +60,21 @@ class BlobLedger:
     def unseen(self, versions: DataFrame, text: str = "text", rules: str = RULES_VERSION) -> DataFrame:
         """blob, text: one row for each distinct text whose (blob, rules) pair the ledger lacks.
 
-        Copies meet in the map-side half of the aggregation, so a text that a third of all rows hold moves once per task.
+        Addresses the ledger knows are left behind before any text moves. Of the rest, copies meet in the map-side half
+        of the aggregation, so a text that a third of all rows hold moves once per task.
         """
-        blobs = versions.select(address(text).alias("blob"), F.col(text).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        rows = versions.select(address(text).alias("blob"), F.col(text).alias("text"))
         known = self.entries().where(F.col("rules") == rules).select("blob").distinct()
-        return blobs.join(known, "blob", "left_anti")
+        if not known.isEmpty():
+            fresh = saved(rows.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+            rows = rows.join(small(fresh), "blob", "left_semi")
+        return rows.groupBy("blob").agg(F.first("text").alias("text"))
 
     def ingest(self, versions: DataFrame, text: str = "text", rules: str = RULES_VERSION) -> None:
         """Scan what is unseen and append it. An interrupted run appends nothing and can be repeated."""
         new = scan(self.unseen(versions, text, rules)).select("blob", F.lit(rules).alias("rules"), "spans")
-        new.write.mode("append").parquet(self.path)
+        with shuffles_removed(self.spark):
+            new.write.mode("append").parquet(self.path)
 
     def findings(self, versions: DataFrame, text: str = "text", rules: str = RULES_VERSION) -> DataFrame:
         """versions with spans (empty if none) for every row; text is left out. All versions must have been ingested.
