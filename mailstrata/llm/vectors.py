@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", zero: bool = False) -> DataFrame:
+def usable(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", zero: bool = False, width: int | None = None) -> DataFrame:
     """vec_id long, v array<double> of the rows whose vector is there, not empty and finite in every component (zero: or zero).
 
-    A row without an id takes no part; of several rows with one id the least vector counts.
+    A row without an id takes no part; of several rows with one id the least vector counts. Vectors have width components;
+    if that isn't given, the length that most of them have (of two as common, the smaller), and those of another length take no part.
     """
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
     if not zero:
         rows = rows.where(F.exists(v, lambda x: x != 0))
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    if width is None:
+        lengths = rows.groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), "width").first()
+        width = lengths["width"] if lengths else 0
+    return rows.where(F.size(vector) == width).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def once(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
