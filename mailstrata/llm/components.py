@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         others = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = saved(others.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        small = saved(others.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        dropped(e, large)
+        e = small
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return saved(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    out = saved(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    dropped(e)
+    return out
