@@ -32,20 +32,57 @@ def _keys(n: int, seed: int) -> np.ndarray:
 _BYTE_KEYS = _keys(256, 1)
 
 
-def _hash_buffer(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word: a sum of byte key times place key, mixed."""
+def _hash_buffer(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word: a sum of byte key times place key, mixed."""
     data = np.frombuffer(raw, np.uint8)
     space = _SPACE[data]
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, ends
     lengths = ends - starts
     at = np.flatnonzero(~space)
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(at)) - np.repeat(first, lengths)
     terms = _BYTE_KEYS[_LOWER[data[at]]] * (_keys(int(lengths.max()), 2) | _U(1))[place]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), starts
+    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), starts, ends
+
+
+def _spaced(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of stretches of raw of about BUFFER bytes that cut no word."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + BUFFER)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield at, end
+        at = end
+
+
+def located_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the text, hash, start, end in code points) of all words, some texts at a time; a text is never split over two."""
+    buffer: list[bytes] = []
+    held, first = 0, 0
+
+    def flush():
+        raw = b" ".join(buffer)
+        offsets = np.cumsum([0] + [len(b) + 1 for b in buffer[:-1]])
+        found = [(h, a + s, a + e) for a, z in _spaced(raw) for h, s, e in [_hash_buffer(raw[a:z])]]
+        hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        base = before[offsets][owner]
+        return first + owner, hashes, before[starts] - base, before[ends] - base
+
+    for i, t in enumerate(texts):
+        raw = (t or "").encode(errors="replace")
+        if buffer and held + len(raw) > BUFFER:
+            yield flush()
+            buffer, held, first = [], 0, i
+        buffer.append(raw)
+        held += len(raw)
+    if buffer:
+        yield flush()
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,7 +91,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     held, first = 0, 0
 
     def flush() -> Iterator[tuple[int, np.ndarray]]:
-        hashes, starts = _hash_buffer(b" ".join(buffer))
+        hashes, starts, _ = _hash_buffer(b" ".join(buffer))
         cuts = np.searchsorted(starts, np.cumsum([len(b) + 1 for b in buffer]))
         for i, part in enumerate(np.split(hashes, cuts[:-1])):
             yield first + i, part
@@ -65,14 +102,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
             yield from flush()
             buffer, held, first = [], 0, i
         if len(raw) > BUFFER:
-            parts, at = [], 0
-            while at < len(raw):
-                end = min(len(raw), at + BUFFER)
-                while end < len(raw) and not _SPACE[raw[end]]:
-                    end += 1
-                parts.append(_hash_buffer(raw[at:end])[0])
-                at = end
-            yield i, np.concatenate(parts)
+            yield i, np.concatenate([_hash_buffer(raw[a:z])[0] for a, z in _spaced(raw)])
             first = i + 1
             continue
         buffer.append(raw)
