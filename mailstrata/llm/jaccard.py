@@ -1,24 +1,22 @@
 """Exact Jaccard join of word shingle sets as a metric-space join.
 
-Jaccard distance is a metric. A pivot is a set; its region holds the documents near it.
-Documents as pivots separate nothing here, since unrelated documents are all at distance 1 from
-all of them, so the first pivots are sets of one shingle: such a pivot is at 1 - 1/|x| from
-a document x that holds it and at 1 from all others. A document lies in the regions of its nearest
-pivots, the rarest shingles first, and is replicated into as many as a partner within the
-radius can lack, plus one; then every linked pair shares a region. The distance to the empty set
-in the symmetric difference is the set's size: the triangle inequality bounds the sizes
-of partners, so regions are cut into windows of sizes that overlap.
-
-Regions that share documents are joined together, each exactly. A region beyond CELL
-documents is split again, now by documents as pivots: what is within the radius of the pivot is
-linked to it, the rest is dealt to rings of one radius' width by its distance from the
-pivot, each document also to the next ring; rings without unlinked documents are done. What is
-still too large after ROUNDS pivots is dealt to blocks, and every pair of blocks is joined.
-
-Before all that, one bound over all documents keeps almost all of them out: shingles that
-only one document holds count against every partner, so a document with too many of them has
-none. To count them, each shingle is sent once per chunk of documents as 32 bits within a bucket,
-which can only take a lone shingle for a shared one, never the reverse.
+Jaccard distance is a metric, and the empty set is a point of it at distance 1 from all others. Pivots are
+documents and the empty set; each makes a Voronoi region. With the radius r, x and y linked and x no
+farther from its nearest pivot p than y from its own, the triangle inequality gives
+d(y, p) <= d(y, nearest pivot of y) + r: a document is replicated into all regions within r of its nearest one.
+One that shares nothing with a pivot is not sent there for that: its partners in that region are at least 1 - r from
+the pivot, so they are in the region of the empty set too, as it is. Regions are split again by pivots of their own until they
+are small, and then joined exactly over all pairs.
+
+Unrelated documents are at distance 1 from almost every pivot, so the region of the empty set would hold
+nearly all of a large corpus for many rounds. Two bounds that lose no pair cut the corpus first. Shingles that only one
+document holds count against every partner: a document with too many of them has none. To count them, each
+shingle is sent once per chunk of documents as 32 bits within a bucket of a few MB of text, which can only take
+a lone shingle for a shared one, never the reverse. The others are put into cells: a linked pair shares one of the
+rarest shingles of each side, as many as a partner can lack plus one, and its sizes are within the window that the distance
+to the empty set in the symmetric difference allows. Cells are the components of these ties; every cell is joined by pivots as above,
+in one task up to CELL documents, beyond that by Spark until its regions fit. What ROUNDS of pivots don't
+make small enough, since all its documents are about as near to one another, is dealt to blocks, and every pair of blocks is joined.
 """
 
 from __future__ import annotations
@@ -28,18 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, saved, small
+from .common import BROADCAST_ROWS, dropped, saved, small
 from .components import components
-from .shingles import fingerprint, shingle_sets
-
-#: Documents of a region that one task joins, document pivots in turn, documents of a block after that, shingles that one task counts or joins.
-CELL, ROUNDS, BLOCK, TASK_SHINGLES = 2048, 3, 1024, 1 << 20
+from .shingles import fingerprint, mix, shingle_sets
+
+#: Documents of a cell that one task joins, of a region that is joined over all pairs, pivots of a cell, rounds of pivots by Spark, documents of a block after that.
+CELL, LEAF, PIVOTS, ROUNDS, BLOCK = 512, 48, 8, 4, 256
+#: Shingles that one task joins, bytes of text whose shingles one bucket counts, and those that one task reads.
+TASK_SHINGLES, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
+#: Bytes of pivots that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Characters of text whose shingles a worker holds at once.
 CHUNK = 2 << 20
-SHARED = "doc_id long, n long, f1 long, f2 long, shared long"
+SHARED = "doc_id long, key long, n long, f1 long, f2 long, shared long"
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -54,10 +56,20 @@ def _chunks(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
         yield b[part == i].reset_index(drop=True)
 
 
+def row_key(text: str):
+    """A hash of a row's id and text: rows that agree in both are one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col(text))
+
+
+def tasks_for(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Buckets of BUCKET_BYTES of text and tasks of TASK_BYTES, no fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(64, math.ceil(size / BUCKET_BYTES)), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+
+
 def shared_counts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, n (distinct shingles), fingerprints f1 and f2, and how many of its shingles another row holds, or may hold."""
-    spark = docs.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """For each row of docs: doc_id, key (row_key), n (distinct shingles), fingerprints f1 and f2, and how many of its shingles another row holds, or may hold."""
+    buckets, tasks = tasks_for(docs, text)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -83,7 +95,7 @@ def shared_counts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [(int(i), chunk, _blob(tokens[a:z]), _blob(np.bincount(own[a:z], minlength=len(n) + 1).astype(np.uint32))) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
             missing = b["doc_id"].isna().to_numpy()
-            side = np.stack([b["doc_id"].fillna(0).to_numpy(np.int64), missing.astype(np.int64), n, prints[:, 0], prints[:, 1], here])
+            side = np.stack([b["doc_id"].fillna(0).to_numpy(np.int64), b["key"].to_numpy(np.int64), missing.astype(np.int64), n, prints[:, 0], prints[:, 1], here])
             rows.append((buckets + chunk % buckets, chunk, _blob(side), b""))
             yield pd.DataFrame(rows, columns=["bucket", "chunk", "tokens", "counts"])
 
@@ -102,15 +114,16 @@ def shared_counts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
         return pd.DataFrame({"chunk": rows["chunk"], "side": False, "data": out})
 
     def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        doc_id, missing, n, f1, f2, here = np.frombuffer(rows.loc[rows["side"], "data"].iloc[0], np.int64).reshape(6, -1)
+        doc_id, keys, missing, n, f1, f2, here = np.frombuffer(rows.loc[rows["side"], "data"].iloc[0], np.int64).reshape(7, -1)
         shared = here.copy()
         for data in rows.loc[~rows["side"], "data"]:
             shared += np.frombuffer(data, np.uint32)
         ids = pd.array(doc_id, dtype="Int64")
         ids[missing == 1] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "n": n, "f1": f1, "f2": f2, "shared": shared})
+        return pd.DataFrame({"doc_id": ids, "key": keys, "n": n, "f1": f1, "f2": f2, "shared": shared})
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInPandas(mapped, "bucket long, chunk long, tokens binary, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("key"), text)
+    sent = rows.mapInPandas(mapped, "bucket long, chunk long, tokens binary, counts binary").repartition(tasks, "bucket")
     back = sent.groupBy("bucket").applyInPandas(counted, "chunk long, side boolean, data binary")
     return back.groupBy("chunk").applyInPandas(summed, SHARED)
 
@@ -121,7 +134,7 @@ def least_shared(n, percent: int):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """cid, n, tokens binary of wanted (cid, n, f1, f2): the sorted shingles of the row of docs with that id and fingerprint."""
+    """cid, n, tokens binary of wanted (cid, key, n, f1, f2): the sorted shingles of the row of docs with that key and fingerprint."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (part for whole in batches for part in _chunks(whole, text)):
@@ -129,13 +142,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str = "text") -> D
             fits = [len(s) == n and fingerprint(s) == (f1, f2) for s, n, f1, f2 in zip(sets, b["n"], b["f1"], b["f2"], strict=True)]
             yield pd.DataFrame({"cid": b["cid"][fits], "n": b["n"][fits], "tokens": [_blob(s) for s, ok in zip(sets, fits, strict=True) if ok]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text)
-    # a table counted to be small is broadcast; beyond that ids and texts meet in a shuffle join
-    joined = rows.join(small(wanted, 4 * BROADCAST_ROWS), F.col("_doc") == F.col("cid")).select("cid", "n", "f1", "f2", text)
+    rows = docs.select(row_key(text).alias("_key"), text)
+    # a table counted to be small is broadcast; beyond that keys and texts meet in a shuffle join
+    joined = rows.join(small(wanted, 4 * BROADCAST_ROWS), F.col("_key") == F.col("key")).select("cid", "n", "f1", "f2", text)
     return joined.mapInPandas(made, "cid long, n long, tokens binary")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """cid, n, token: of each set the rarest shingles that others hold, as many as a partner may lack plus one, less those no other holds."""
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +156,8 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             tokens = np.frombuffer(b"".join(b["tokens"]), np.int64)
             yield pd.DataFrame({"cid": np.repeat(b["cid"].to_numpy(), b["n"]), "n": np.repeat(b["n"].to_numpy(), b["n"]), "token": tokens})
 
-    tokens = sets.mapInPandas(opened, "cid long, n long, token long")
+    # one exchange of the tokens serves both the counts and the join with them
+    tokens = sets.mapInPandas(opened, "cid long, n long, token long").repartition(tasks, "token")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     held = tokens.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     room = F.col("n") - least_shared("n", percent) + 1 - (F.col("n") - F.size("held"))
@@ -185,38 +199,90 @@ def link_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarr
     return out
 
 
+def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Jaccard distance of every set (row) to every pivot."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    out = np.empty((len(sets), len(pivots)))
+    for j, p in enumerate(pivots):
+        at = np.minimum(np.searchsorted(p, tokens), len(p) - 1)
+        both = np.bincount(owner[p[at] == tokens], minlength=len(sets))
+        out[:, j] = 1 - both / (sizes + len(p) - both)
+    return out
+
+
+def within(d, nearest, percent: int):
+    """Whether a document at distance d from a document pivot belongs to its region, by the distance to its nearest pivot; arrays or columns."""
+    return (d < 1) & (d <= nearest + (1 - percent / 100) + 1e-9)
+
+
+def beyond(nearest, percent: int):
+    """Whether a document belongs to the region of the empty set."""
+    return nearest + (1 - percent / 100) + 1e-9 >= 1
+
+
+def region_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int, leaf: int = LEAF, pivots: int = PIVOTS) -> np.ndarray:
+    """Edges (id, smaller id) that connect all linked pairs of a cell: Voronoi regions, split again until they have leaf documents or pivots separate no more."""
+    out = [np.zeros((0, 2), np.int64)]
+    todo = [(np.arange(len(ids)), 0)]
+    while todo:
+        own, depth = todo.pop()
+        if len(own) < 2:
+            continue
+        regions = None
+        if len(own) > leaf:
+            order = np.argsort(mix(ids[own].astype(np.uint64) + np.uint64(depth)), kind="stable")[:pivots]
+            d = distances([sets[i] for i in own], [sets[own[j]] for j in order])
+            nearest = d.min(1)
+            regions = [own[within(d[:, j], nearest, percent)] for j in range(len(order))] + [own[beyond(nearest, percent)]]
+            if max(len(r) for r in regions) > 0.75 * len(own):
+                regions = None
+        if regions is None:
+            out.append(np.stack([ids[own], link_cell(ids[own], [sets[i] for i in own], percent)], 1))
+        else:
+            todo += [(r, depth + 1) for r in regions]
+    edges = np.concatenate(out)
+    return edges[edges[:, 0] != edges[:, 1]]
+
+
 def _joined(work: DataFrame, key: str, percent: int, shingles: int) -> DataFrame:
-    """Edges a, b from every id to the smallest it is linked to within its cell; cells of work are joined a bucket at a time."""
+    """Edges a, b that connect all linked pairs within each cell; cells of work are joined a bucket at a time."""
     buckets = max(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / TASK_SHINGLES))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         for _, cell in rows.groupby(key, sort=False):
             cell = cell.drop_duplicates("cid")
-            ids = cell["cid"].to_numpy(np.int64)
-            if len(ids) > 1:
-                out.append(np.stack([ids, link_cell(ids, [np.frombuffer(t, np.uint64) for t in cell["tokens"]], percent)], 1))
-        edges = np.concatenate(out)
-        return pd.DataFrame(edges[edges[:, 0] != edges[:, 1]], columns=["a", "b"])
-
-    return work.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("_bucket").applyInPandas(join, "a long, b long")
-
-
-def _pivoted(large: DataFrame, percent: int, depth: int) -> DataFrame:
-    """large (cell, cid, n, tokens) with pivot (its cell's) and both (shingles shared with it)."""
-    pivots = large.groupBy("cell").agg(F.min(F.struct(F.xxhash64("cid", F.lit(depth)), "cid", "n", "tokens")).alias("p"))
-    rows = large.join(pivots, "cell").select("cell", "cid", "n", "tokens", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.tokens").alias("pivot_tokens"))
-
-    @F.pandas_udf("long")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-    return saved(rows.withColumn("both", overlap("tokens", "pivot_tokens")).drop("pivot_tokens"), "jaccard-pivots")
+            out.append(region_edges(cell["cid"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in cell["tokens"]], percent))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    dealt = work.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition(buckets, "_bucket")
+    return dealt.groupBy("_bucket").applyInPandas(join, "a long, b long")
+
+
+def _measured(large: DataFrame, depth: int) -> DataFrame:
+    """cell, cid, slot, pivot, both, n, pivot_n for every document of large (cell, cid, n, tokens) and each of its cell's PIVOTS pivots. Saved."""
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("cid", F.lit(depth)), "cid")
+    chosen = large.select("cell", "cid", "n", "tokens").withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= PIVOTS)
+    chosen = saved(chosen.select(F.col("cell").alias("_cell"), F.col("cid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"), "slot"), "jaccard-pivots")
+    size = chosen.agg(F.sum(F.length("pivot_tokens"))).first()[0] or 0
+    rows = large.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, F.col("cell") == F.col("_cell"))
+
+    def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = zip(b["tokens"], b["pivot_tokens"], strict=True)
+            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in pairs]
+            yield b.drop(columns=["tokens", "pivot_tokens"]).assign(both=np.array(both, np.int64))
+
+    rows = rows.select("cell", "cid", "n", "slot", "pivot", "pivot_n", "tokens", "pivot_tokens")
+    out = saved(rows.mapInPandas(overlap, "cell long, cid long, n long, slot int, pivot long, pivot_n long, both long"), "jaccard-distances")
+    dropped(chosen)
+    return out
 
 
 def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Edges a, b that connect all linked pairs within the cells of work (cell, cid, n, tokens; saved)."""
-    edges = None
+    edges, given = None, work
     for depth in range(rounds + 1):
         sizes = saved(work.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), "jaccard-cells")
         few = work.join(small(sizes.where(F.col("docs") <= cell).select("cell")), "cell")
@@ -224,7 +290,7 @@ def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = RO
         found = saved(_joined(few, "cell", percent, total[0] or 0), "jaccard-edges")
         edges = found if edges is None else edges.unionByName(found)
         if not total[1]:
-            return edges
+            break
         large = work.join(small(sizes.where(F.col("docs") > cell)), "cell")
         if depth == rounds:  # every pair of blocks, each document in as many as its cell has
             n = F.ceil(F.col("docs") / block).cast("int")
@@ -232,45 +298,83 @@ def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = RO
             dealt = large.select("cell", "cid", "n", "tokens", own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))
             dealt = dealt.withColumn("pair", F.xxhash64("cell", F.least("_own", "_other"), F.greatest("_own", "_other")))
             blocks = sizes.where(F.col("docs") > cell).agg(F.sum(F.col("shingles") * F.ceil(F.col("docs") / block))).first()[0]
-            return edges.unionByName(saved(_joined(dealt, "pair", percent, int(blocks)), "jaccard-edges"))
-        near = _pivoted(large.select("cell", "cid", "n", "tokens"), percent, depth)
+            edges = edges.unionByName(saved(_joined(dealt, "pair", percent, int(blocks)), "jaccard-edges"))
+            break
+        table = measured = _measured(large, depth)
         union = F.col("n") + F.col("pivot_n") - F.col("both")
         linked = 100 * F.col("both") >= percent * union
-        edges = edges.unionByName(near.where(linked).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-        # rings of one radius' width: partners of a document lie in its own ring or the ones beside it
-        ring = F.floor((union - F.col("both")) / union * 100 / (100 - percent + 1e-6)).cast("int")
-        ringed = near.select("cell", "cid", "n", "tokens", linked.alias("linked"), F.explode(F.array(ring, ring + 1)).alias("ring"))
-        open_rings = ringed.groupBy("cell", "ring").agg(F.sum((~F.col("linked")).cast("long")).alias("open")).where(F.col("open") > 0).select("cell", "ring")
-        work = saved(ringed.join(open_rings, ["cell", "ring"]).select(F.xxhash64("cell", "ring", F.lit(depth)).alias("cell"), "cid", "n", "tokens"), "jaccard-rings")
+        measured = measured.withColumns({"d": 1 - F.col("both") / union, "linked": linked})
+        edges = edges.unionByName(saved(measured.where("linked AND cid != pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")), "jaccard-edges"))
+        near = measured.groupBy("cell", "cid").agg(F.min("d").alias("nearest"), F.collect_list(F.struct("slot", "d", "linked")).alias("at"))
+        there = F.transform(F.filter("at", lambda p: within(p["d"], F.col("nearest"), percent)), lambda p: F.struct(p["slot"].alias("slot"), p["linked"].alias("linked")))
+        far = F.when(beyond(F.col("nearest"), percent), F.array(F.struct(F.lit(0).alias("slot"), F.lit(False).alias("linked")))).otherwise(F.array().cast("array<struct<slot:int,linked:boolean>>"))
+        regions = saved(near.select("cell", "cid", F.explode(F.concat(there, far)).alias("x")).select("cell", "cid", "x.*"), "jaccard-regions")
+        # where all are linked to the pivot nothing is left to find
+        open_regions = regions.groupBy("cell", "slot").agg(F.sum((~F.col("linked")).cast("long")).alias("open")).where(F.col("open") > 0).select("cell", "slot")
+        placed = regions.join(small(saved(open_regions, "jaccard-open")), ["cell", "slot"]).select("cell", "cid", F.xxhash64("cell", "slot", F.lit(depth)).alias("_region"))
+        before, work = work, saved(large.select("cell", "cid", "n", "tokens").join(placed, ["cell", "cid"]).select(F.col("_region").alias("cell"), "cid", "n", "tokens"), "jaccard-work")
+        dropped(table, regions, before if before is not given else None)
     return edges
 
 
-def link_documents(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs: documents link when their shingle sets' Jaccard index is percent / 100 or more.
+def linked_rows(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: str = "text") -> DataFrame:
+    """doc_id, key (row_key), n_shingles, group long, component_id for every row of docs; a group is what links connect, null for rows that no other row is linked with.
 
-    component_id is the smallest id reachable by links. Texts without words are linked with nothing. Rows of one
-    set, repeated rows included, are one class; a null id belongs to its class but never names it.
+    Rows of one set, repeated rows included, are one class, rows without an id too; a class never goes by an id, so different texts under one id
+    stay apart. component_id is the smallest id of the group (null if none of its rows has one), for a row alone its own.
     """
     if not 0 < percent < 100:
         raise ValueError("percent must be between 0 and 100")
     rows = saved(shared_counts(docs, k, text), "jaccard-counts")
-    key = ["n", "f1", "f2"]
-    classes = rows.where(F.col("n") > 0).groupBy(*key).agg(F.min("doc_id").alias("cid"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
-    wanted = saved(classes.where(F.col("cid").isNotNull() & (F.col("shared") >= least_shared("n", percent))).select("cid", *key), "jaccard-wanted")
-    sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid", "n"]), "jaccard-sets")
+    names = ["n", "f1", "f2"]
+    classes = rows.where(F.col("n") > 0).groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.withColumn("cid", F.xxhash64(*names))
+    wanted = saved(classes.where(F.col("shared") >= least_shared("n", percent)).select("cid", "key", *names), "jaccard-wanted")
+    sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid"]), "jaccard-sets")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))
     # a pair's sizes lie in one band or in neighbouring ones: each document goes to its band and the next
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    placed = saved(prefixes(sets, percent).select("cid", "token", F.explode(F.array(band, band + 1)).alias("band")), "jaccard-regions")
-    regions = placed.groupBy("token", "band").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
-    cells = components(placed.join(regions, ["token", "band"]).select(F.col("cid").alias("a"), F.col("least").alias("b")))
-    work = saved(sets.join(cells, F.col("cid") == F.col("node")).select(F.col("component").alias("cell"), "cid", "n", "tokens"), "jaccard-work")
+    placed = saved(prefixes(sets, percent, tasks).select("cid", "token", F.explode(F.array(band, band + 1)).alias("band")), "jaccard-ties")
+    ties = placed.groupBy("token", "band").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
+    cells = components(placed.join(ties, ["token", "band"]).select(F.col("cid").alias("a"), F.col("least").alias("b")))
+    work = saved(sets.join(cells, F.col("cid") == F.col("node")).select(F.col("component").alias("cell"), "cid", "n", "tokens"), "jaccard-cells")
+    dropped(wanted, sets, placed, cells)
     found = components(cell_edges(work, percent, cell))
+    dropped(work)
     # classes of one row that are linked with nothing need no lookup
     named = classes.join(found, F.col("cid") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
-    named = saved(named.select(*[F.col(c).alias(f"_{c}") for c in key], F.coalesce("component", "cid").alias("_component")), "jaccard-named")
-    same = [F.col(c) == F.col(f"_{c}") for c in key]
-    return rows.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    named = saved(named.select(*[F.col(c).alias(f"_{c}") for c in names], "least", F.coalesce("component", "cid").alias("group")), "jaccard-named")
+    groups = named.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("_component"))
+    named = named.join(groups, F.col("group") == F.col("_group")).drop("_group", "least")
+    same = [F.col(c) == F.col(f"_{c}") for c in names]
+    return rows.join(named, same, "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "group", F.coalesce("_component", "doc_id").alias("component_id"))
+
+
+def link_documents(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs: documents link when their shingle sets' Jaccard index is percent / 100 or more.
+
+    component_id is the smallest id reachable by links. Null and empty texts and those without words are linked with nothing. Rows of one
+    set, repeated rows included, are one class; a null id belongs to its class but never names it. Other columns of docs are not looked at.
+    """
+    return linked_rows(docs, k, percent, cell, text).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 90)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS x FROM documents)),
+t AS (SELECT doc_id, i, word || coalesce(' ' || lead(word, 1) OVER p, '') || coalesce(' ' || lead(word, 2) OVER p, '') AS shingle, count(*) OVER (PARTITION BY doc_id) AS words
+  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, shingle FROM t WHERE i <= greatest(words - 2, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.v FROM reach r JOIN (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_pii_spans": pii.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
+    "op5_jaccard_join": jaccard.ORACLE,
     "op6_secret_scan": secret_scan.ORACLE,
     "op8_exact_topk": topk.ORACLE,
 }

@@ -39,7 +39,7 @@ def _components(rows, k, percent):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("k,percent,cell", [(3, 90, 2048), (5, 80, 3)])
+@pytest.mark.parametrize("k,percent,cell", [(3, 90, 512), (5, 80, 3)])
 def test_jaccard_join_loses_no_link(spark, k, percent, cell):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
@@ -58,6 +58,35 @@ def test_jaccard_join_loses_no_link(spark, k, percent, cell):
     assert got == _components(rows, k, percent)
 
 
+def test_regions_lose_no_link():
+    """Voronoi regions and windows against all pairs, on sets around a few centres at many distances."""
+    rng = np.random.RandomState(6)
+    for percent in (80, 90):
+        sets = []
+        for _ in range(6):
+            base = rng.randint(0, 1 << 60, 80).astype(np.uint64)
+            for _ in range(60):
+                keep = rng.rand(80) < rng.choice([0.5, 0.8, 0.95, 1.0])
+                sets.append(np.unique(np.r_[base[keep], rng.randint(0, 1 << 60, rng.randint(1, 8)).astype(np.uint64)]))
+        ids = rng.permutation(len(sets)) + 100
+        edges = jaccard.region_edges(ids, sets, percent, leaf=6, pivots=4)
+        groups = lambda es: jaccard.np.array(sorted(_roots(ids.tolist(), es)))
+        pairs = [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
+        assert len(pairs) > 20 and (groups(edges.tolist()) == groups(pairs)).all()
+
+
+def _roots(ids, edges):
+    root = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    return list(root.items())
+
+
 def test_shingles_are_those_of_words():
     texts = ["A b C a b c", "ab c", "a bc", "", None, "x", "é É é", "a\x0bb\x0cc  d", "z " * 700_000]
     for t, s in zip(texts, shingles.shingle_sets(texts, 3), strict=True):

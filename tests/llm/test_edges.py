@@ -121,8 +121,40 @@ def test_vectors(spark):
     assert topk.top_k(good, empty, 5).count() == 0 and ann.neighbours(good, empty, 5).count() == 0
 
 
-def test_near_duplicate_stage(spark, docs):
+def test_near_duplicate_stage(spark, docs, none):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert ids == ["1", "2", "3", "5", "7", "None"]
+    assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (1, texts[0]), (3, texts[1] + " more"), (None, texts[3]), (None, texts[3]), (None, texts[2])]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (0, texts[3])])
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 1.0, 1.0]), (4, [0.5]), (5, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    good = vectors.usable(rows)
+    assert sorted(r[0] for r in good.collect()) == [1, 2, 5] and [r[0] for r in vectors.usable(rows, width=3).collect()] == [3]
+    assert [tuple(r)[:3] for r in topk.top_k(good, good.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 5)]
+    assert [tuple(r)[:3] for r in ann.neighbours(good, good.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 5)]
+
+
+def test_many_hits_in_one_text(spark):
+    """Cost follows the text: 5 000 addresses and as many tokens in a text of some 200 KB, against plain Python."""
+    import re
+    import time
+
+    text = " ".join(f"user{i}@site{i % 7}.org token=abcdefABCDEF{i:05d}" for i in range(5000))
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    pii.find_pii(one.limit(0)).count()
+    began = time.perf_counter()
+    found = pii.find_pii(one).select("_email").first()["_email"]
+    assert time.perf_counter() - began < 15
+    assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert pii.redact(one).first()["text"] == re.sub(r"user\d+@site\d\.org", "[EMAIL]", text)
+    assert len(secret_scan.scan(one).first()["spans"]) == 5000
