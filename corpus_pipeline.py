@@ -25,18 +25,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; a repeated row stays once.
+    """Of each group of linked documents the one with the smallest id (of several texts under that id the one with the smallest hash).
 
-    Documents without words are linked with nothing and stay, as do rows without an id, which no link can name.
+    A repeated row, with the same id and the same text, stays once; different texts under one id are documents of their own.
+    Rows without an id are linked like all others and yield to those that have one. Documents without words are linked with nothing and stay.
     """
-    links = saved(jaccard.link_documents(docs, WORDS, PERCENT), "links").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    gone = saved(links.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = saved(links.groupBy(F.col("doc_id").alias("_again")).count().where(F.col("count") > 1).select("_again"), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    rows = saved(jaccard.linked_rows(docs, WORDS, PERCENT).where(F.col("group").isNotNull()), "links")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
+    firsts = saved(rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("rows")).select("group", "first.key"), "firsts")
+    again = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("key").alias("_again")), "again")
+    gone = saved(rows.select(F.col("key").alias("_gone")).distinct().join(firsts, F.col("_gone") == F.col("key"), "left_anti"), "gone")
+    keyed = docs.withColumn("_key", jaccard.row_key("text"))
+    kept = keyed.join(small(gone), F.col("_key") == F.col("_gone"), "left_anti")
+    if not again.isEmpty():
+        twice = small(again)
+        once = kept.join(twice, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(twice, F.col("_key") == F.col("_again"), "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
