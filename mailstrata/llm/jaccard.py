@@ -35,6 +35,10 @@ from .shingles import fingerprint, mix, shingle_sets
 
 #: Documents of a cell that one task joins, of a region that is joined over all pairs, pivots of a cell, rounds of pivots by Spark, documents of a block after that.
 CELL, LEAF, PIVOTS, ROUNDS, BLOCK = 512, 48, 8, 4, 256
+#: Pivots separate where no region keeps more than this share of the documents, and all regions together hold no more than this many times as many.
+SHRUNK, SPREAD = 0.75, 2.0
+#: Documents of a cell whose pairs are compared together with those of other cells.
+FEW = 12
 #: Shingles that one task joins, bytes of text whose shingles one bucket counts, and those that one task reads.
 TASK_SHINGLES, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
 #: Bytes of pivots that are broadcast; more are joined by a shuffle.
@@ -235,7 +239,8 @@ def region_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int, leaf: in
             d = distances([sets[i] for i in own], [sets[own[j]] for j in order])
             nearest = d.min(1)
             regions = [own[within(d[:, j], nearest, percent)] for j in range(len(order))] + [own[beyond(nearest, percent)]]
-            if max(len(r) for r in regions) > 0.75 * len(own):
+            held = [len(r) for r in regions]
+            if max(held) > SHRUNK * len(own) or sum(held) > SPREAD * len(own):
                 regions = None
         if regions is None:
             out.append(np.stack([ids[own], link_cell(ids[own], [sets[i] for i in own], percent)], 1))
@@ -245,14 +250,42 @@ def region_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int, leaf: in
     return edges[edges[:, 0] != edges[:, 1]]
 
 
+def pair_edges(cells: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int, hold: int = 1 << 22) -> np.ndarray:
+    """Edges between all linked pairs of small cells, many cells at once. Rows lie in the order of their cells; hold: shingles compared at a time."""
+    firsts = np.cumsum(sizes) - sizes
+    pairs = [np.zeros((0, 2), np.int64)]
+    for j in range(1, len(cells)):
+        at = np.flatnonzero(cells[:-j] == cells[j:])
+        if not len(at):
+            break
+        at = at[100 * np.minimum(sizes[at], sizes[at + j]) >= percent * np.maximum(sizes[at], sizes[at + j])]
+        pairs.append(np.stack([at, at + j], 1))
+    pairs = np.concatenate(pairs)
+    part = np.cumsum(sizes[pairs].sum(1)) // hold
+    out = [np.zeros((0, 2), np.int64)]
+    for x in np.unique(part):
+        some = pairs[part == x]
+        rows, n = some.T.ravel(), sizes[some.T.ravel()]
+        at = np.repeat(firsts[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        which, held = np.repeat(np.tile(np.arange(len(some)), 2), n), tokens[at]
+        order = np.lexsort((held, which))
+        which, held = which[order], held[order]
+        both = np.bincount(which[1:][(held[1:] == held[:-1]) & (which[1:] == which[:-1])], minlength=len(some))
+        out.append(ids[some[100 * both >= percent * (sizes[some].sum(1) - both)]])
+    return np.concatenate(out)
+
+
 def _joined(work: DataFrame, key: str, percent: int, shingles: int) -> DataFrame:
     """Edges a, b that connect all linked pairs within each cell; cells of work are joined a bucket at a time."""
     buckets = max(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / TASK_SHINGLES))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        for _, cell in rows.groupby(key, sort=False):
-            cell = cell.drop_duplicates("cid")
+        rows = rows.drop_duplicates([key, "cid"]).sort_values(key, kind="stable")
+        docs = rows.groupby(key)[key].transform("size")
+        few = rows[docs <= FEW]
+        tokens = np.frombuffer(b"".join(few["tokens"]), np.uint64)
+        out = [pair_edges(few[key].to_numpy(np.int64), few["cid"].to_numpy(np.int64), few["n"].to_numpy(np.int64), tokens, percent)]
+        for _, cell in rows[docs > FEW].groupby(key, sort=False):
             out.append(region_edges(cell["cid"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in cell["tokens"]], percent))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
@@ -280,6 +313,16 @@ def _measured(large: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def _blocked(large: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges between all linked pairs of each cell of large (cell, docs, cid, n, tokens): every pair of blocks is joined, each document goes to as many as its cell has."""
+    n = F.ceil(F.col("docs") / block).cast("int")
+    own = F.pmod(F.xxhash64("cid", F.lit(99)), n).cast("int")
+    dealt = large.select("cell", "cid", "n", "tokens", own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))
+    dealt = dealt.withColumn("pair", F.xxhash64("cell", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    shingles = large.agg(F.sum(F.col("n") * n)).first()[0] or 0
+    return saved(_joined(dealt, "pair", percent, int(shingles)), "jaccard-edges")
+
+
 def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Edges a, b that connect all linked pairs within the cells of work (cell, cid, n, tokens; saved)."""
     edges, given = None, work
@@ -292,13 +335,8 @@ def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = RO
         if not total[1]:
             break
         large = work.join(small(sizes.where(F.col("docs") > cell)), "cell")
-        if depth == rounds:  # every pair of blocks, each document in as many as its cell has
-            n = F.ceil(F.col("docs") / block).cast("int")
-            own = F.pmod(F.xxhash64("cid", F.lit(99)), n).cast("int")
-            dealt = large.select("cell", "cid", "n", "tokens", own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_other"))
-            dealt = dealt.withColumn("pair", F.xxhash64("cell", F.least("_own", "_other"), F.greatest("_own", "_other")))
-            blocks = sizes.where(F.col("docs") > cell).agg(F.sum(F.col("shingles") * F.ceil(F.col("docs") / block))).first()[0]
-            edges = edges.unionByName(saved(_joined(dealt, "pair", percent, int(blocks)), "jaccard-edges"))
+        if depth == rounds:
+            edges = edges.unionByName(_blocked(large, percent, block))
             break
         table = measured = _measured(large, depth)
         union = F.col("n") + F.col("pivot_n") - F.col("both")
@@ -309,9 +347,16 @@ def cell_edges(work: DataFrame, percent: int, cell: int = CELL, rounds: int = RO
         there = F.transform(F.filter("at", lambda p: within(p["d"], F.col("nearest"), percent)), lambda p: F.struct(p["slot"].alias("slot"), p["linked"].alias("linked")))
         far = F.when(beyond(F.col("nearest"), percent), F.array(F.struct(F.lit(0).alias("slot"), F.lit(False).alias("linked")))).otherwise(F.array().cast("array<struct<slot:int,linked:boolean>>"))
         regions = saved(near.select("cell", "cid", F.explode(F.concat(there, far)).alias("x")).select("cell", "cid", "x.*"), "jaccard-regions")
+        held = regions.groupBy("cell", "slot").agg(F.count(F.lit(1)).alias("held"), F.sum((~F.col("linked")).cast("long")).alias("open"))
         # where all are linked to the pivot nothing is left to find
-        open_regions = regions.groupBy("cell", "slot").agg(F.sum((~F.col("linked")).cast("long")).alias("open")).where(F.col("open") > 0).select("cell", "slot")
-        placed = regions.join(small(saved(open_regions, "jaccard-open")), ["cell", "slot"]).select("cell", "cid", F.xxhash64("cell", "slot", F.lit(depth)).alias("_region"))
+        held = saved(held.where(F.col("open") > 0), "jaccard-held")
+        # cells that pivots don't separate, since all is about as near to one another
+        stuck = held.groupBy("cell").agg(F.sum("held").alias("all"), F.max("held").alias("most")).join(sizes, "cell").where((F.col("all") > SPREAD * F.col("docs")) | (F.col("most") > SHRUNK * F.col("docs")))
+        stuck = saved(stuck.select("cell", "docs"), "jaccard-stuck")
+        if not stuck.isEmpty():
+            edges = edges.unionByName(_blocked(work.join(small(stuck), "cell"), percent, block))
+        left = held.join(small(stuck), "cell", "left_anti").select("cell", "slot")
+        placed = regions.join(small(saved(left, "jaccard-open")), ["cell", "slot"]).select("cell", "cid", F.xxhash64("cell", "slot", F.lit(depth)).alias("_region"))
         before, work = work, saved(large.select("cell", "cid", "n", "tokens").join(placed, ["cell", "cid"]).select(F.col("_region").alias("cell"), "cid", "n", "tokens"), "jaccard-work")
         dropped(table, regions, before if before is not given else None)
     return edges
