@@ -56,7 +56,7 @@ def analyze(o) -> int:
     facts = spark.read.parquet(f"{o.out}/sessions")
     results = rules.evaluate(facts, policy)
     found = rules.prioritised(rules.findings(results, policy))
-    scores = rules.score(rules.units(results), ["capture_id"], policy.minimum_coverage)
+    scores = rules.posture(facts, ["capture_id"], policy)
     write_json(facts, f"{o.out}/sessions_json", not o.no_segments, not o.no_events)
     write_json(found, f"{o.out}/findings_json")
     write_json(scores, f"{o.out}/scores_json")

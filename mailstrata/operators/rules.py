@@ -148,16 +148,18 @@ def confidence(family: Column) -> Column:
     return F.when(family == "MAIL", mail).otherwise(tls)
 
 
-def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
-
-    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for.
-    """
-    policy = policy or Policy()
+def _outcome_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list, dict[str, str]]:
+    """facts' ids with a column for each enabled rule's outcome and the confidences, the enabled rules, and the columns' names."""
     cases = outcomes(policy)
     enabled = [r for r in RULES if r[0] not in policy.disabled]
     name = {r: f"_o{i}" for i, (r, *_) in enumerate(enabled)}
-    first = facts.select("capture_id", "session_id", *[cases[r].alias(name[r]) for r in name], confidence(F.lit("TLS")).alias("_tls"), confidence(F.lit("MAIL")).alias("_mail"))
+    sure = [confidence(F.lit("TLS")).alias("_tls"), confidence(F.lit("MAIL")).alias("_mail")]
+    return facts.select("capture_id", "session_id", *[cases[r].alias(name[r]) for r in name], *sure), enabled, name
+
+
+def _results(facts: DataFrame, policy: Policy) -> DataFrame:
+    """capture_id, session_id, results: an array with one entry for every enabled rule."""
+    first, enabled, name = _outcome_columns(facts, policy)
 
     def row(rule, severity, group):
         stands_before = [r for r, s, g, _ in enabled if g == group and (SEVERITIES.index(s), r) < (SEVERITIES.index(severity), rule)]
@@ -165,9 +167,68 @@ def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
         for r in stands_before:
             counts = counts & (F.col(name[r]) != "FAIL")
         sure = F.lit("LOW") if rule == "MAIL-004" else F.col("_mail" if rule.startswith("MAIL") else "_tls")
-        return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(group).alias("dedup_group"), F.lit(policy.weights.get(rule, WEIGHTS[severity])).alias("weight"), F.col(name[rule]).alias("outcome"), sure.alias("confidence"), counts.alias("counts"))
+        fixed = {"rule_id": rule, "severity": severity, "dedup_group": group, "weight": policy.weights.get(rule, WEIGHTS[severity])}
+        return F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col(name[rule]).alias("outcome"), sure.alias("confidence"), counts.alias("counts"))
+
+    return first.select("capture_id", "session_id", F.array(*[row(r, s, g) for r, s, g, _ in enabled]).alias("results"))
+
+
+def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
+
+    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for.
+    """
+    rows = _results(facts, policy or Policy())
+    return rows.select("capture_id", "session_id", F.explode("results").alias("r")).select("capture_id", "session_id", "r.*")
 
-    return first.select("capture_id", "session_id", F.explode(F.array(*[row(r, s, g) for r, s, g, _ in enabled])).alias("r")).select("capture_id", "session_id", "r.*")
+
+def failures(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """The rows of evaluate() that count, picked before they are rows of their own."""
+    rows = _results(facts, policy or Policy())
+    picked = F.explode(F.filter("results", lambda r: r["counts"])).alias("r")
+    return rows.select("capture_id", "session_id", picked).select("capture_id", "session_id", "r.*")
+
+
+def _unit_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
+    """capture_id, session_id and for each dedup group its deciding unit: a CASE over one row, FAIL before PASS before UNKNOWN before NOT_APPLICABLE."""
+    first, enabled, name = _outcome_columns(facts, policy)
+    groups: dict[str, list] = {}
+    for r, severity, g, _ in sorted(enabled, key=lambda x: (SEVERITIES.index(x[1]), x[0])):
+        groups.setdefault(g, []).append((r, policy.weights.get(r, WEIGHTS[severity])))
+
+    def unit(group: str, members: list):
+        made = lambda r, w, o: F.struct(F.lit(group).alias("dedup_group"), F.lit(r).alias("rule_id"), F.lit(o).alias("outcome"), F.lit(w).alias("weight"))
+        out = None
+        for o in OUTCOMES:
+            for r, w in members:
+                test = F.col(name[r]) == o
+                out = F.when(test, made(r, w, o)) if out is None else out.when(test, made(r, w, o))
+        return out
+
+    units = [f"_u{i}" for i in range(len(groups))]
+    return first.select("capture_id", "session_id", *[unit(g, members).alias(u) for u, (g, members) in zip(units, groups.items(), strict=True)]), units
+
+
+def session_units(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """units(evaluate(facts)) for facts with one row a session, without a shuffle."""
+    rows, names = _unit_columns(facts, policy or Policy())
+    return rows.select("capture_id", "session_id", F.explode(F.array(*names)).alias("u")).select("capture_id", "session_id", "u.*")
+
+
+def posture(facts: DataFrame, key: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
+    """score(session_units(facts), key): every session's weights are sums over its own row. Without a key a row for each session, with its ids, and no shuffle."""
+    policy = policy or Policy()
+    rows, names = _unit_columns(facts, policy)
+
+    def total(*wanted):
+        each = [F.when(F.col(u)["outcome"].isin(*wanted) & (F.col(u)["weight"] > 0), F.col(u)["weight"]).otherwise(0.0) for u in names]
+        return sum(each[1:], each[0])
+
+    weights = {"weighted_evaluated": total("FAIL", "PASS"), "weighted_deductions": total("FAIL"), "weighted_applicable": total("FAIL", "PASS", "UNKNOWN")}
+    rows = rows.select("capture_id", "session_id", *[c.alias(n) for n, c in weights.items()])
+    if key is not None:
+        rows = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in weights])
+    return _graded(rows, policy.minimum_coverage)
 
 
 def tally(results: DataFrame, key: list[str]) -> DataFrame:
@@ -190,6 +251,11 @@ def score(unit_rows: DataFrame, key: list[str], floor: float = 0.5) -> DataFrame
     w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)
     total = lambda *o: F.sum(F.when(F.col("outcome").isin(*o), w).otherwise(0.0))
     x = unit_rows.groupBy(*key).agg(total("FAIL", "PASS").alias("weighted_evaluated"), total("FAIL").alias("weighted_deductions"), total("FAIL", "PASS", "UNKNOWN").alias("weighted_applicable"))
+    return _graded(x, floor)
+
+
+def _graded(x: DataFrame, floor: float) -> DataFrame:
+    """x (the three weights) with coverage, score, status, band."""
     raw = F.when(F.col("weighted_applicable") > 0, F.col("weighted_evaluated") / F.col("weighted_applicable"))
     scored = (F.col("weighted_evaluated") > 0) & (raw >= floor)
     value = F.bround(100 * (F.col("weighted_evaluated") - F.col("weighted_deductions")) / F.col("weighted_evaluated"), 0)
@@ -208,24 +274,31 @@ def findings(results: DataFrame, policy: Policy | None = None) -> DataFrame:
     return results.where("counts").withColumn("finding_id", made).select("finding_id", "capture_id", "session_id", "rule_id", "severity", "dedup_group", "confidence", "weight")
 
 
+#: Leading characters of a finding id, with its prefix, by which the ranks of one group are dealt: 256 parts of each.
+ID_PART = len("find-") + 2
+
+
 def prioritised(found: DataFrame, criticality: Column | None = None) -> DataFrame:
     """findings with scope (findings of the rule), priority (P1 to P4) and a dense rank from 1 over all of them.
 
-    The rank is a total order of the whole report. Its first keys have few values, so it is made of counts per
-    (severity, confidence, criticality, rule) and a rank within; no task holds all findings.
+    The rank is a total order of the whole report, by severity, confidence, criticality, scope, rule and finding id. It is a count of all
+    (..., leading characters of the id) before a row's own and a rank within those; the counts are one small table of bounded size, and
+    no task holds all findings of a rule.
     """
     prio = F.lit(None).cast("string")
     for s, row in PRIORITIES.items():
         for c, p in zip(CONFIDENCES, row, strict=True):
             prio = F.when((F.col("severity") == s) & (F.col("confidence") == c), p).otherwise(prio)
     crit = criticality if criticality is not None else F.lit(None).cast("string")
-    scope = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("scope"))
-    x = found.join(F.broadcast(scope), "rule_id").withColumn("priority", prio).withColumn("_c", rank(crit, SEVERITIES[:4]))
-    x = x.withColumn("_g", F.struct(rank(F.col("severity"), SEVERITIES).alias("s"), rank(F.col("confidence"), CONFIDENCES).alias("c"), F.col("_c"), (-F.col("scope")).alias("n"), "rule_id"))
-    groups = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))  # at most rules times confidences times criticalities rows
-    before = groups.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    x = x.join(F.broadcast(before), "_g")
-    return x.withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_g").orderBy("finding_id"))).drop("_g", "_c", "_before")
+    order = ["_s", "_k", "_c"]
+    keyed = found.withColumns({"_s": rank(F.col("severity"), SEVERITIES), "_k": rank(F.col("confidence"), CONFIDENCES), "_c": rank(crit, SEVERITIES[:4]), "_part": F.left("finding_id", F.lit(ID_PART))})
+    group = [*order, "rule_id", "_part"]
+    counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("scope", F.sum("_n").over(Window.partitionBy("rule_id")))
+    whole = Window.orderBy(*order, F.desc("scope"), "rule_id", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(whole), F.lit(0))).drop("_n")
+    x = keyed.join(F.broadcast(counts), group).withColumn("priority", prio)
+    return x.withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy(*group).orderBy("finding_id"))).drop(*order, "_part", "_before")
 
 
 def remediations(found: DataFrame) -> DataFrame:

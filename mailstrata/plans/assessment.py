@@ -121,27 +121,27 @@ def rule_pivot(t):
 
 @query(f"WITH {RESULTS_SQL} SELECT session_id, dedup_group, rule_id, severity FROM results WHERE counts")
 def rule_dedup(t):
-    return rules.evaluate(facts(t)).where("counts").select("session_id", "dedup_group", "rule_id", "severity")
+    return rules.failures(facts(t)).select("session_id", "dedup_group", "rule_id", "severity")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT finding_id, capture_id, session_id, rule_id, severity, dedup_group, confidence, weight FROM found")
 def findings(t):
-    return rules.findings(rules.evaluate(facts(t)))
+    return rules.findings(rules.failures(facts(t)))
 
 
 @query(f"WITH {UNITS_SQL} SELECT * FROM units")
 def scoring_units(t):
-    return rules.units(rules.evaluate(facts(t)))
+    return rules.session_units(facts(t))
 
 
 @query("WITH " + _score_sql("session_id"))
 def posture_score(t):
-    return rules.score(rules.units(rules.evaluate(facts(t))), ["session_id"])
+    return rules.posture(facts(t)).drop("capture_id")
 
 
 @query("WITH " + _score_sql("capture_id"))
 def capture_score(t):
-    return rules.score(rules.units(rules.evaluate(facts(t))), ["capture_id"])
+    return rules.posture(facts(t), ["capture_id"])
 
 
 _PRIORITY = " ".join(f"WHEN severity = '{s}' AND confidence = '{c}' THEN '{p}'" for s, row in rules.PRIORITIES.items() for c, p in zip(rules.CONFIDENCES, row, strict=True))
@@ -151,7 +151,7 @@ _PRIORITY = " ".join(f"WHEN severity = '{s}' AND confidence = '{c}' THEN '{p}'"
 SELECT finding_id, rule_id, severity, confidence, scope, CASE {_PRIORITY} END AS priority,
   row_number() OVER (ORDER BY sr, CASE confidence WHEN 'CONFIRMED' THEN 0 WHEN 'PROBABLE' THEN 1 ELSE 2 END, scope DESC, rule_id, finding_id) AS rank FROM s""")
 def prioritised(t):
-    return rules.prioritised(rules.findings(rules.evaluate(facts(t)))).select("finding_id", "rule_id", "severity", "confidence", "scope", "priority", F.col("rank").cast("long").alias("rank"))
+    return rules.prioritised(rules.findings(rules.failures(facts(t)))).select("finding_id", "rule_id", "severity", "confidence", "scope", "priority", F.col("rank").cast("long").alias("rank"))
 
 
 _REMEDIES = " ".join(f"WHEN '{i}' THEN '{m}'" for i, _, _, m in rules.RULES)
@@ -160,12 +160,12 @@ _REMEDIES = " ".join(f"WHEN '{i}' THEN '{m}'" for i, _, _, m in rules.RULES)
 @query(f"""WITH {FINDINGS_SQL}, m AS (SELECT sr, unnest(string_split(CASE rule_id {_REMEDIES} END, ',')) AS remediation_id FROM found)
 SELECT remediation_id, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][min(sr) + 1] AS severity, count(*) AS findings FROM m WHERE remediation_id <> '' GROUP BY remediation_id""")
 def remediation_plan(t):
-    return rules.remediations(rules.findings(rules.evaluate(facts(t))))
+    return rules.remediations(rules.findings(rules.failures(facts(t))))
 
 
 @query(f"""WITH {FINDINGS_SQL} SELECT session_id, count(*) AS deductions, string_agg(dedup_group, ',' ORDER BY weight DESC, dedup_group) AS lines FROM found WHERE weight > 0 GROUP BY session_id""")
 def deduction_lines(t):
-    f = rules.findings(rules.evaluate(facts(t))).where("weight > 0")
+    f = rules.findings(rules.failures(facts(t))).where("weight > 0")
     lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "dedup_group"))), lambda x: x["dedup_group"])
     return f.groupBy("session_id").agg(F.count(F.lit(1)).alias("deductions"), F.array_join(lines, ",").alias("lines"))
 
@@ -177,7 +177,7 @@ def evidence_window(t):
 
 def reach(t) -> DataFrame:
     """Findings with what the relations across captures need."""
-    f = rules.findings(rules.evaluate(facts(t)))
+    f = rules.findings(rules.failures(facts(t)))
     o = t.orders.select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("session_id"), (F.col("o_custkey") % 97).alias("entity"), F.col("o_orderpriority").alias("protocol"), us("o_orderdate").alias("at"))
     return f.join(o, "session_id")
 

@@ -22,14 +22,14 @@ def pcap_sessions(t):
 def pcap_findings(t):
     """Findings of those sessions with priority and rank."""
     facts = sessions.facts(sessions.assemble(dissect(generated(t.spark, 8, 125))))
-    return rules.prioritised(rules.findings(rules.evaluate(facts)))
+    return rules.prioritised(rules.findings(rules.failures(facts)))
 
 
 @query()
 def pcap_scores(t):
     """Posture of each generated capture."""
     facts = sessions.facts(sessions.assemble(dissect(generated(t.spark, 8, 125))))
-    return rules.score(rules.units(rules.evaluate(facts)), ["capture_id"])
+    return rules.posture(facts, ["capture_id"])
 
 
 @query()

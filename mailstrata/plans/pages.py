@@ -44,7 +44,7 @@ def session_search(t):
 
 @query(f"WITH {FINDINGS_SQL} SELECT finding_id, rule_id, session_id FROM found WHERE severity = 'CRITICAL' ORDER BY rule_id, finding_id LIMIT 100 OFFSET 10")
 def findings_page(t):
-    f = serving.filtered(rules.findings(rules.evaluate(facts(t))), {"severity": "CRITICAL"})
+    f = serving.filtered(rules.findings(rules.failures(facts(t))), {"severity": "CRITICAL"})
     return serving.page(f, ["rule_id", "finding_id"], 10, 100).select("finding_id", "rule_id", "session_id")
 
 

@@ -131,7 +131,7 @@ _SCORES = _score_sql("session_id").replace("SELECT session_id, e AS", "SELECT se
 l AS (SELECT o_custkey, o_orderkey, lag(score) OVER w AS before, score AS after, lag(policy) OVER w AS p, policy AS q, row_number() OVER w AS i FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT o_custkey, o_orderkey, before, after, CASE WHEN before IS NULL OR after IS NULL OR p IS DISTINCT FROM q THEN 'NOT_COMPARABLE' WHEN before = after THEN 'UNCHANGED_WITH_EVIDENCE' ELSE 'OBSERVED_CHANGE' END AS status FROM l WHERE i > 1 AND (before IS NOT NULL OR after IS NOT NULL)""")
 def score_drift(t):
-    s = rules.score(rules.units(rules.evaluate(facts(t))), ["session_id"]).select("session_id", "score")
+    s = rules.posture(facts(t)).select("session_id", "score")
     o = t.orders.select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("session_id"), "o_custkey", "o_orderkey", (F.col("o_orderkey") % 3).alias("policy"))
     return intel.score_drift(o.join(s, "session_id"), "o_custkey", "o_orderkey", "score", "policy")
 
