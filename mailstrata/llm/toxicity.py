@@ -1,21 +1,25 @@
-"""Toxicity by compression distance: a zstandard dictionary of toxic text and one of ordinary text.
-
-A window is one word between spaces, followed by a fixed anchor that both dictionaries
-hold (zstandard looks for no match in the last eight bytes of its input, so without it
-short windows show no difference). Its distance is the compressed length under the
-ordinary dictionary less that under the toxic one: near zero or below for ordinary text,
-several bytes for what only the toxic dictionary holds. A document's score is a logistic
-function of how many of its windows have each distance and of its length.
-
-The model is fitted on a bounded sample of labelled rows (MAX_TOXIC, MAX_ORDINARY,
-MAX_BYTES below), in FOLDS parts: weights and threshold are calibrated on each part under
-dictionaries made of the others. Scoring reads whole texts of all documents, in one pass
+"""Toxicity by compression distance: a zstandard dictionary trained on toxic text and one trained on ordinary text.
+
+Texts are cut into windows of WINDOW words. A window's distance is its compressed length under the ordinary
+dictionary less that under both dictionaries one after the other, so what ordinary text has costs the same on both sides and
+only what the toxic dictionary alone holds makes a distance. Every window is followed by a fixed anchor that both sides hold,
+since zstandard looks for no match in the last eight bytes of its input.
+
+Both dictionaries come from zstandard's own trainer. Most of a toxic text is ordinary, so the toxic one is trained in rounds, in FOLDS parts:
+the windows of each part that stand out most under dictionaries trained on the other parts are what the next round is
+trained on, and ordinary windows that stand out likewise join the ordinary dictionary's samples. What one text alone holds never stands
+out, since its own part is left out.
+
+Two thresholds are calibrated, on windows and texts that their dictionaries haven't seen: the distance from which a window
+counts, and the sum of what counted windows have beyond it, for the logarithm of the text's windows, from which a text is toxic.
+Windows of one word are in use: of the lengths tried they tell toxic texts best (see the README).
+
+The model is fitted on a bounded sample of labelled rows (the bounds below). Scoring reads whole texts of all documents, in one pass
 without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The sample's bounds: labelled rows of each class (those with the smallest hashes), and bytes of a text that may be sampled.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 4000, 32_768
-#: Parts of the sample: a part is calibrated on under dictionaries made of the others.
-FOLDS = 3
-#: Characters of a gram, how much more often a toxic document has it, and in what share of toxic documents at least.
-GRAM, MIN_RATIO, MIN_SHARE = 5, 8.0, 0.005
-#: Bytes of each dictionary, compression level, longest window, largest distance told apart, the threshold that calibration aims at.
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, FAR, THRESHOLD = 8_000, 16_000, 5, 64, 9, 0.3
+#: The sample's bounds: labelled rows of each class (those with the smallest hashes), bytes of a text that may be sampled, bytes of a class.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES, CLASS_BYTES = 1000, 2000, 32_768, 16 << 20
+#: Parts of the sample, rounds of training, windows that a toxic text gives to a round, distance from which one stands out, ordinary texts searched for such windows in a round.
+FOLDS, ROUNDS, GIVEN, STANDS_OUT, SEARCHED = 4, 2, 5, 2, 400
+#: Texts that a rare window may stand in.
+RARE_IN = 8
+#: Words of a window, characters of a piece of a longer word and their step.
+WINDOW, PIECE, STEP = 1, 64, 32
+#: Bytes of each dictionary, windows that one is trained on, length of the segments that the trainer picks for each, of the strings it counts, compression level.
+TOXIC_BYTES, ORDINARY_BYTES, TRAINED, TOXIC_SEGMENT, ORDINARY_SEGMENT, COUNTED, LEVEL = 16_000, 64_000, 150_000, 16, 48, 6, 3
+#: How often a window that ordinary texts stood out with is shown to the trainer.
+EMPHASIS = 4
+#: The score at which a text is called toxic.
+THRESHOLD = 0.3
 ANCHOR = b"\x01<~anchor~window~>\x01"
 STRIP = ".,;:!?\"'()[]"
 CACHED = 200_000
@@ -38,134 +48,147 @@ CACHED = 200_000
 _scorers: dict = {}
 
 
+def windows(text: str | None) -> list[bytes]:
+    """The windows of a text in order: WINDOW words in lower case without punctuation around them; a word beyond PIECE characters gives overlapping pieces."""
+    words = [w.strip(STRIP) for w in (text or "").lower().split()]
+    groups = [" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+    pieces = [g[i : i + PIECE] for g in groups for i in range(0, max(1, len(g) - STEP), STEP)] if any(len(g) > PIECE for g in groups) else groups
+    return [f" {g} ".encode(errors="replace") for g in pieces]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """What zstandard's trainer keeps of samples; the samples themselves where they are too few to train on."""
+    import zstandard as zs
+
+    total = sum(map(len, samples))
+    try:
+        return zs.train_dictionary(min(size, max(256, total // 4)), samples, k=segment, d=COUNTED).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 class Distances:
-    """Compression distances of windows; kept for words seen before, up to CACHED of them."""
+    """Compression distances of windows; kept for windows seen before, up to CACHED of them."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as zs
 
-        make = lambda raw: zs.ZstdCompressor(level=LEVEL, dict_data=zs.ZstdCompressionDict(ANCHOR + raw, dict_type=zs.DICT_TYPE_RAWCONTENT))
-        self.toxic, self.ordinary, self.kept = make(toxic), make(ordinary), {}
+        def make(raw: bytes):
+            data = zs.ZstdCompressionDict(ANCHOR + raw, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=LEVEL)
+            return zs.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
+
+        self.ordinary, self.both, self.kept = make(ordinary), make(ordinary + toxic), {}
 
-    def of(self, word: str) -> int:
-        found = self.kept.get(word)
+    def of(self, window: bytes) -> int:
+        found = self.kept.get(window)
         if found is None:
             if len(self.kept) >= CACHED:
                 self.kept.clear()
-            plain = word.strip(STRIP)
-            found = max(self._one(plain[i : i + WINDOW]) for i in range(0, max(1, len(plain)), WINDOW))
-            if len(word) <= WINDOW:
-                self.kept[word] = found
+            found = self.kept[window] = len(self.ordinary.compress(window + ANCHOR)) - len(self.both.compress(window + ANCHOR))
         return found
 
-    def _one(self, window: str) -> int:
-        data = f" {window} ".encode(errors="replace") + ANCHOR
-        return min(FAR, max(0, len(self.ordinary.compress(data)) - len(self.toxic.compress(data))))
+    def all(self, found: list[bytes]) -> np.ndarray:
+        return np.array([self.of(w) for w in found], np.int64)
 
-    def features(self, text: str | None) -> list[float]:
-        """For each distance from 1 on the logarithm of 1 and its windows, then that of 1 and all windows."""
-        words = (text or "").lower().split()
-        counts = [0] * (FAR + 1)
-        for w in words:
-            counts[self.of(w)] += 1
-        return [*np.log1p(counts[1:]), np.log1p(len(words))]
 
+def excess(distances: np.ndarray, least: int) -> float:
+    """What the windows of a text have beyond the distance from which they count, for the logarithm of their number."""
+    return float(np.maximum(0, distances - least).sum() / np.log(10 + len(distances)))
 
-def _words(text: str) -> set[str]:
-    return {w.strip(STRIP)[:WINDOW] for w in text.lower().split()}
 
+def _picked(rng, xs: list, n: int) -> list:
+    return xs if len(xs) <= n else [xs[i] for i in sorted(rng.permutation(len(xs))[:n])]
 
-def _grams(word: str) -> list[str]:
-    b = f" {word} "
-    return [b[i : i + GRAM] for i in range(max(1, len(b) - GRAM + 1))]
 
+class Agreed:
+    """The lower of the two middle distances under several toxic dictionaries: chance likenesses differ from one to another."""
 
-def _covered(word: str, marked: set[str]) -> list[str]:
-    """The longest stretches of word that consist of marked grams."""
-    b, ends, out = f" {word} ", 0, []
-    start = None
-    for i in range(len(b) + 1):
-        if i <= len(b) - GRAM and b[i : i + GRAM] in marked:
-            start, ends = (i if start is None else start), i + GRAM
-        elif start is not None and i >= ends:
-            out.append(b[start:ends])
-            start = None
+    def __init__(self, several: list[Distances]):
+        self.several = several
+
+    def of(self, window: bytes) -> int:
+        return sorted(d.of(window) for d in self.several)[(len(self.several) - 1) // 2]
+
+
+def _standing_out(d, text_windows: list[bytes]) -> list[bytes]:
+    own = list(dict.fromkeys(text_windows))
+    order = sorted((-d.of(w), i) for i, w in enumerate(own))[:GIVEN]
+    return [own[i] for far, i in order if -far >= STANDS_OUT]
+
+
+def without_copies(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """texts less those that are much like an earlier one: a third or more of their rare windows stand in it. Copies would stand out as what toxic texts share."""
+    held: dict[bytes, list[int]] = {}
+    for i, t in enumerate(texts):
+        for w in set(t):
+            held.setdefault(w, []).append(i)
+    out = []
+    for i, t in enumerate(texts):
+        rare = [w for w in set(t) if len(held[w]) <= RARE_IN]
+        earlier: dict[int, int] = {}
+        for w in rare:
+            for j in held[w]:
+                if j < i:
+                    earlier[j] = earlier.get(j, 0) + 1
+        if 3 * max(earlier.values(), default=0) < max(2, len(rare)):
+            out.append(t)
     return out
 
 
-def _content(counts: Counter, size: int) -> bytes:
-    """The most common strings, the commonest last, where zstandard reaches them at least cost."""
-    out, total = [], 0
-    for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        data = s.encode(errors="replace")
-        total += len(data)
-        if total > size:
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], bytes]:
+    """Toxic dictionaries, one for each part with that part left out and then one of all, and the ordinary dictionary; from windows of texts."""
+    rng = np.random.RandomState(0)
+    plain = _picked(rng, [w for t in ordinary for w in t], TRAINED)
+    hard: list[bytes] = []
+    parts = [[w for t in toxic[f::FOLDS] for w in t] for f in range(FOLDS)]
+    common = dictionary(plain, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    toxic_of = lambda xs: dictionary(_picked(rng, xs, TRAINED), TOXIC_BYTES, TOXIC_SEGMENT)
+    for n in range(ROUNDS):
+        own = [Distances(toxic_of(p), common) for p in parts]
+        others = [Agreed([own[g] for g in range(FOLDS) if g != f]) for f in range(FOLDS)]
+        fresh = [[w for t in toxic[f::FOLDS] for w in _standing_out(others[f], t)] for f in range(FOLDS)]
+        hard += [w for t in ordinary[n * SEARCHED : (n + 1) * SEARCHED] for w in _standing_out(others[0], t)]
+        if min(map(len, fresh)) < FOLDS:  # too little text to learn from in parts
             break
-        out.append(data)
-    return b"".join(reversed(out))
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Raw dictionary contents: stretches of words that mark toxic texts, and the commonest ordinary words."""
-    in_toxic, in_ordinary, ordinary_words = Counter(), Counter(), Counter()
-    toxic_words = [_words(x) for x in toxic]
-    for ws in toxic_words:
-        in_toxic.update({g for w in ws for g in _grams(w)})
-    for x in ordinary:
-        ws = _words(x)
-        ordinary_words.update(f" {w} " for w in ws if w)
-        in_ordinary.update({g for w in ws for g in _grams(w)})
-    least = max(2, MIN_SHARE * len(toxic))
-    ratio = lambda g, n: n / len(toxic) / ((in_ordinary[g] + 0.5) / max(1, len(ordinary)))
-    marked = {g for g, n in in_toxic.items() if n >= least and ratio(g, n) >= MIN_RATIO}
-    stretches = Counter(s for ws in toxic_words for w in ws for s in _covered(w, marked))
-    stretches = Counter({s: n for s, n in stretches.items() if n >= 2})
-    return _content(stretches, TOXIC_BYTES), _content(ordinary_words, ORDINARY_BYTES)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method for a ridge logistic regression; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+        parts = fresh
+        common = dictionary(plain + hard * EMPHASIS, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    without = [toxic_of([w for g in range(FOLDS) if g != f for w in parts[g]]) for f in range(FOLDS)]
+    return [*without, toxic_of([w for p in parts for w in p])], common
 
 
 def fit(toxic: list[str], ordinary: list[str], prior: float = 0.5) -> dict:
-    """The model: dictionaries and weights. Without texts of both classes every score is 0.
+    """The model: two dictionaries and two thresholds. Without texts of both classes every score is 0.
 
-    prior: the share of toxic rows among all labelled ones; the threshold is chosen for it.
+    prior: the share of toxic rows among all labelled ones, for which the thresholds reach the best F1. Every other ordinary
+    text is left out of training and calibrates them.
     """
     if not toxic or not ordinary:
-        return {"weights": None}
-    x, y = [], []
-    for k in range(FOLDS):  # features of each text under dictionaries that haven't seen it
-        part = lambda xs, own: [t for i, t in enumerate(xs) if (i % FOLDS == k) == own]  # noqa: B023, E731
-        distances = Distances(*train_dictionaries(part(toxic, False) or toxic, part(ordinary, False) or ordinary))
-        x += [distances.features(t) for c in (toxic, ordinary) for t in part(c, True)]
-        y += [1.0] * len(part(toxic, True)) + [0.0] * len(part(ordinary, True))
-    contents = train_dictionaries(toxic, ordinary)
-    x, y = np.array(x), np.array(y)
-    w = _logistic(x, y)
-    logit = np.hstack([x, np.ones((len(x), 1))]) @ w
-    each = np.where(y == 1, prior / len(toxic), (1 - prior) / len(ordinary))
-    order = np.argsort(-logit, kind="stable")
-    hit, called = np.cumsum((each * y)[order]), np.cumsum(each[order])
-    best = int(np.argmax(2 * hit / (called + prior)))
-    ranked = logit[order]
-    cut = (ranked[best] + ranked[min(best + 1, len(ranked) - 1)]) / 2
-    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    return {"toxic": contents[0], "ordinary": contents[1], "weights": w}
+        return {"toxic": None}
+    bad, good = without_copies([windows(t) for t in dict.fromkeys(toxic)]), [windows(t) for t in dict.fromkeys(ordinary)]
+    unseen = good[1::2] or good
+    dictionaries, common = train_dictionaries(bad, good[0::2])
+    held = [Distances(d, common) for d in dictionaries[:-1]]
+    far = [held[i % FOLDS].all(t) for i, t in enumerate(bad)] + [held[i % FOLDS].all(t) for i, t in enumerate(unseen)]
+    hit = np.r_[np.full(len(bad), prior / len(bad)), np.zeros(len(unseen))]
+    called = hit + np.r_[np.zeros(len(bad)), np.full(len(unseen), (1 - prior) / len(unseen))]
+    best = (-1.0, 1, 1.0)
+    for least in range(1, 8):
+        x = np.array([excess(d, least) for d in far])
+        for cut in np.unique(x[x > 0]):
+            f1 = 2 * hit[x >= cut].sum() / (called[x >= cut].sum() + prior)
+            best = max(best, (f1, least, float(cut)))
+    return {"toxic": dictionaries[-1], "ordinary": common, "least": best[1], "cut": best[2]}
+
+
+def _within(texts: list[str]) -> list[str]:
+    """The first texts that have CLASS_BYTES together."""
+    upto = np.cumsum([len(t.encode(errors="replace")) for t in texts])
+    return texts[: int(np.searchsorted(upto, CLASS_BYTES, "right"))]
 
 
 def sample(docs: DataFrame, labels: DataFrame, where=None) -> tuple[list[str], list[str], float]:
-    """Texts of both classes, smallest hashes first, and the share of toxic rows; at most MAX_TOXIC and MAX_ORDINARY labelled rows reach the driver.
+    """Texts of both classes, smallest hashes first, and the share of toxic rows; at most MAX_TOXIC and MAX_ORDINARY labelled rows and CLASS_BYTES of each reach the driver.
 
     Labels are picked before documents are read, so the documents are only filtered by a table of bounded size.
     Labels that contradict each other, null labels and texts over MAX_BYTES aren't sampled.
@@ -179,18 +202,21 @@ def sample(docs: DataFrame, labels: DataFrame, where=None) -> tuple[list[str], l
     chosen = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_ORDINARY)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"), order.alias("_order"))
     rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_BYTES)).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("_toxic", "_order", "text")).alias("x")).select("x.*")
     found = sorted(rows.collect(), key=lambda r: (r["_order"], r["text"]))
-    toxic, ordinary = ([r["text"] for r in found if r["_toxic"] == v] for v in (1, 0))
+    toxic, ordinary = (_within([r["text"] for r in found if r["_toxic"] == v]) for v in (1, 0))
     return toxic, ordinary, shares.get(1, 0) / max(1, sum(shares.values()))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with score double and predicted int. Null and empty texts get the score of a text without windows."""
+    """docs with score double and predicted int: 1 - 0.7 ** (excess / cut), which is THRESHOLD where a text's excess is at the cut.
+
+    Null and empty texts have score 0, equal texts equal scores; columns of docs with these names are replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
-        if m["weights"] is None:
+        if m["toxic"] is None:
             for s in batches:
                 yield pd.Series(np.zeros(len(s)))
             return
@@ -198,10 +224,9 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Distances(m["toxic"], m["ordinary"])
-        d, w = _scorers[key], m["weights"]
         for s in batches:
-            x = np.array([d.features(t) for t in s]).reshape(len(s), FAR + 1)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+            x = np.array([excess(_scorers[key].all(windows(t)), m["least"]) for t in s])
+            yield pd.Series(1 - (1 - THRESHOLD) ** (x / m["cut"] * (1 + 1e-12)))
 
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*keep, scored(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -213,7 +238,11 @@ def held_out(doc_id):
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with held_out, score, predicted; the model is fitted on the labelled rows that aren't held out."""
+    """docs with held_out, score, predicted; the model is fitted on the labelled rows that aren't held out.
+
+    A row without an id is scored like any other and isn't held out; repeated rows have equal scores; labels without an id, null or
+    contradicting labels teach nothing, and an empty table gives no rows.
+    """
     model = fit(*sample(docs, labels, ~held_out(F.col("doc_id"))))
     return score(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
