@@ -27,7 +27,9 @@ from .common import saved, small
 from .vectors import blocks, sampled, spread, stacked, usable
 
 #: Rows that centres are fitted on, rounds of fitting, cosine from which scores matter, candidates reranked for a query, codes and queries of a block.
-TRAIN, ROUNDS, COSINE, SHORTLIST, CODES, QUERIES = 8192, 8, 0.3, 600, 262_144, 128
+TRAIN, ROUNDS, COSINE, SHORTLIST, CODES, QUERIES = 8192, 8, 0.3, 600, 262_144, 4096
+#: Queries whose tables are held at once.
+TABLES = 128
 
 
 class Quantiser:
@@ -150,14 +152,15 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, listed: int = SHORTL
             query = query.drop_duplicates("vec_id")
             ids, half = cand["vec_id"].to_numpy(np.int64), cand["half"].to_numpy()
             packed = np.ascontiguousarray(np.frombuffer(b"".join(cand["code"]), np.uint8).reshape(len(ids), -1).T)
-            for query_id, table in zip(query["vec_id"], sent.value.tables(stacked(query["v"], width)), strict=True):
-                scores = -half
-                for byte, sums in zip(packed, table, strict=True):
-                    scores = scores + sums[byte]
-                best = shortlist(scores, listed + 1)  # one more, since the query's own vector is among them
-                out_q.append(np.full(len(best), query_id))
-                out_c.append(ids[best])
-                out_s.append(scores[best])
+            for part in (query.iloc[i : i + TABLES] for i in range(0, len(query), TABLES)):
+                for query_id, table in zip(part["vec_id"], sent.value.tables(stacked(part["v"], width)), strict=True):
+                    scores = -half
+                    for byte, sums in zip(packed, table, strict=True):
+                        scores = scores + sums[byte]
+                    best = shortlist(scores, listed + 1)  # one more, since the query's own vector is among them
+                    out_q.append(np.full(len(best), query_id))
+                    out_c.append(ids[best])
+                    out_s.append(scores[best])
         return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_c), "score": np.concatenate(out_s)})
 
     n_blocks, parts = blocks(n, CODES), blocks(n_queries, QUERIES)

@@ -3,9 +3,9 @@
 Candidates are dealt to shards of about SHARD rows by their ids' hashes, so neither
 copies nor clusters make a shard larger. Each shard's tree splits at medians of the widest
 component and keeps tight boxes. A query opens boxes by their upper bound, sum of
-max(q*low, q*high), until no box can hold anything above its kth score. That score starts
-from a bounded sample of all candidates, the same for every shard, so shards prune from
-the first box on and return only what may belong to the whole result.
+max(q*low, q*high), until no box can hold anything above its kth score. Shards are searched in waves, each
+GROWTH times as large as all before it together, and the kth score found so far goes with the query into the next wave, so later shards prune from
+the first box on and return only what may belong to the whole result. The first wave starts from a bounded sample of all candidates.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import blocks, once, sampled, spread, stacked, usable
+from .common import dropped, saved
+from .vectors import block_of, blocks, once, sampled, stacked, usable
 
-#: Rows of a shard, rows of a leaf, queries of a block, rows of the sample that gives the first bounds.
-SHARD, LEAF, QUERIES, SAMPLE = 8192, 128, 4096, 2048
+#: Rows of a shard, rows of a leaf, queries of a block, rows of the sample that gives the first bounds, growth of the waves.
+SHARD, LEAF, QUERIES, SAMPLE, GROWTH = 8192, 128, 16_384, 2048, 3
 
 
 class KDTree:
@@ -106,21 +107,37 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             return none
         ids, points = once(cand["vec_id"].to_numpy(np.int64), stacked(cand["v"], width))
         query_ids, q = once(query["vec_id"].to_numpy(np.int64), stacked(query["v"], width))
-        kth = np.full(len(q), -np.inf)
+        so_far = dict(zip(query["vec_id"], query["kth"].astype(float).fillna(-np.inf), strict=True))
+        kth = np.array([so_far[i] for i in query_ids])
         scores = np.where(sample_ids[None] == query_ids[:, None], -np.inf, q @ sample.T)
         if scores.shape[1] > k:
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            kth = np.maximum(kth, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
         found = search(KDTree(points), ids, points, query_ids, q, kth, k)
         if not found:
             return none
         a, b, s = (np.array(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"query_id": query_ids[a], "vec_id": ids[b], "score": s.astype(np.int64)})
 
-    left = spread(rows, "_shard", shards, "_part", parts, 1).groupBy("_shard", "_part")
-    right = spread(queries, "_part", parts, "_shard", shards, 2).groupBy("_shard", "_part")
-    found = left.cogroup(right).applyInPandas(joined, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    placed = rows.withColumn("_shard", block_of(shards, 1))
+    asked = queries.withColumn("_part", block_of(parts, 2))
+    best, first = None, 0
+    while first < shards:
+        last = min(shards, first + max(1, GROWTH * first))
+        bounded = asked.withColumn("kth", F.lit(None).cast("long"))
+        if best is not None:
+            kth = best.groupBy(F.col("query_id").alias("_asked")).agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+            bounded = asked.join(kth, F.col("vec_id") == F.col("_asked"), "left").drop("_asked")
+        left = placed.where(F.col("_shard").between(first, last - 1)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = bounded.withColumn("_shard", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        found = left.groupBy("_shard", "_part").cogroup(right.groupBy("_shard", "_part")).applyInPandas(joined, "query_id long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.select("query_id", "vec_id", "score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        before, best = best, saved(ranked.select("query_id", "rank", "vec_id", "score"), "topk-wave")
+        dropped(before)
+        first = last
+    return best
 
 
 def op8_exact_topk(spark, sf_dir: str) -> DataFrame:

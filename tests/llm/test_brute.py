@@ -101,7 +101,10 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100, 102: 100}
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("shard", [8192, 60])
+def test_exact_top_k(spark, monkeypatch, shard):
+    """In one shard, and in twelve that are searched in three waves."""
+    monkeypatch.setattr(topk, "SHARD", shard)
     rng = np.random.RandomState(1)
     x = np.floor(rng.randn(700, 6) * 20)
     x[100:400] = x[0]  # many equal scores
