@@ -119,7 +119,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"query_id": query_ids[a], "vec_id": ids[b], "score": s.astype(np.int64)})
 
     placed = rows.withColumn("_shard", block_of(shards, 1))
-    asked = queries.withColumn("_part", block_of(parts, 2))
+    asked = saved(queries.withColumn("_part", block_of(parts, 2)), "topk-queries")
     best, first = None, 0
     while first < shards:
         last = min(shards, first + max(1, GROWTH * first))
