@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import assessment, models, packets, pages, relations, streams
+from .plans import assessment, inventory, models, packets, pages, relations, streams
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_PLANS = (assessment, models, packets, pages, relations, streams)
+_PLANS = (assessment, inventory, models, packets, pages, relations, streams)
 
 
 def flagship(spark, sf_dir: str):

@@ -47,6 +47,11 @@ FACTS = {
     "commands_after_refusal": "o_custkey % 4",
     "capabilities_seen": "o_custkey % 6 <> 0",
     "upgrade_advertised": "o_orderkey % 4 <> 0",
+    "protocol": "case o_custkey % 4 when 0 then 'SMTP' when 1 then 'IMAP' when 2 then 'POP3' else null end",
+    "tls_group": "case when o_orderkey % 6 = 0 then null else 23 + o_custkey % 3 end",
+    "kex": "case o_custkey % 3 when 0 then 'RSA' when 1 then 'ECDHE' else null end",
+    "leaf_sha256": "case when o_custkey % 6 = 0 then null else concat('L', cast(o_custkey % 50 as {text})) end",
+    "spki_sha256": "case when o_custkey % 6 = 0 then null else concat('K', cast(o_custkey % 40 as {text})) end",
 }
 FACTS_SQL = "facts AS (SELECT " + ", ".join(f"{e.format(text='varchar')} AS {n}" for n, e in FACTS.items()) + " FROM orders)"
 
