@@ -157,8 +157,12 @@ def _outcome_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list,
     return facts.select("capture_id", "session_id", *[cases[r].alias(name[r]) for r in name], *sure), enabled, name
 
 
-def _results(facts: DataFrame, policy: Policy) -> DataFrame:
-    """capture_id, session_id, results: an array with one entry for every enabled rule."""
+def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
+
+    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for.
+    """
+    policy = policy or Policy()
     first, enabled, name = _outcome_columns(facts, policy)
 
     def row(rule, severity, group):
@@ -170,23 +174,14 @@ def _results(facts: DataFrame, policy: Policy) -> DataFrame:
         fixed = {"rule_id": rule, "severity": severity, "dedup_group": group, "weight": policy.weights.get(rule, WEIGHTS[severity])}
         return F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col(name[rule]).alias("outcome"), sure.alias("confidence"), counts.alias("counts"))
 
-    return first.select("capture_id", "session_id", F.array(*[row(r, s, g) for r, s, g, _ in enabled]).alias("results"))
-
-
-def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
-
-    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for.
-    """
-    rows = _results(facts, policy or Policy())
-    return rows.select("capture_id", "session_id", F.explode("results").alias("r")).select("capture_id", "session_id", "r.*")
+    # the array is written inside explode: of a column, Spark would infer a filter that holds all of it once more
+    each = F.explode(F.array(*[row(r, s, g) for r, s, g, _ in enabled])).alias("r")
+    return first.select("capture_id", "session_id", each).select("capture_id", "session_id", "r.*")
 
 
 def failures(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """The rows of evaluate() that count, picked before they are rows of their own."""
-    rows = _results(facts, policy or Policy())
-    picked = F.explode(F.filter("results", lambda r: r["counts"])).alias("r")
-    return rows.select("capture_id", "session_id", picked).select("capture_id", "session_id", "r.*")
+    """The rows of evaluate() that count."""
+    return evaluate(facts, policy).where("counts")
 
 
 def _unit_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
