@@ -371,10 +371,8 @@ def linked_rows(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: s
     if not 0 < percent < 100:
         raise ValueError("percent must be between 0 and 100")
     rows = saved(shared_counts(docs, k, text), "jaccard-counts")
-    names = ["n", "f1", "f2"]
-    classes = rows.where(F.col("n") > 0).groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
-    classes = classes.withColumn("cid", F.xxhash64(*names))
-    wanted = saved(classes.where(F.col("shared") >= least_shared("n", percent)).select("cid", "key", *names), "jaccard-wanted")
+    classes = class_rows(rows, F.max("shared").alias("shared"))
+    wanted = saved(classes.where(F.col("shared") >= least_shared("n", percent)).select("cid", "key", *CLASS), "jaccard-wanted")
     sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid"]), "jaccard-sets")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))
     # a pair's sizes lie in one band or in neighbouring ones: each document goes to its band and the next
@@ -386,12 +384,27 @@ def linked_rows(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: s
     dropped(wanted, sets, placed, cells)
     found = components(cell_edges(work, percent, cell))
     dropped(work)
+    return named_rows(rows, classes, found)
+
+
+#: What the rows of one set agree in.
+CLASS = ["n", "f1", "f2"]
+
+
+def class_rows(rows: DataFrame, *more) -> DataFrame:
+    """n, f1, f2, cid (their hash), least (smallest id), key (of one row), copies and the aggregates more of every set of rows that has a shingle."""
+    classes = rows.where(F.col("n") > 0).groupBy(*CLASS).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), *more)
+    return classes.withColumn("cid", F.xxhash64(*CLASS))
+
+
+def named_rows(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, group, component_id for every row of rows; found: node (cid) and component."""
     # classes of one row that are linked with nothing need no lookup
     named = classes.join(found, F.col("cid") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
-    named = saved(named.select(*[F.col(c).alias(f"_{c}") for c in names], "least", F.coalesce("component", "cid").alias("group")), "jaccard-named")
+    named = saved(named.select(*[F.col(c).alias(f"_{c}") for c in CLASS], "least", F.coalesce("component", "cid").alias("group")), "named-classes")
     groups = named.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("_component"))
     named = named.join(groups, F.col("group") == F.col("_group")).drop("_group", "least")
-    same = [F.col(c) == F.col(f"_{c}") for c in names]
+    same = [F.col(c) == F.col(f"_{c}") for c in CLASS]
     return rows.join(named, same, "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "group", F.coalesce("_component", "doc_id").alias("component_id"))
 
 

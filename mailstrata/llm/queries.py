@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, pii, secret_scan, sharding, substring, topk, toxicity
+from . import ann, bpe, jaccard, lexical, minhash, mixing, pii, secret_scan, sharding, substring, topk, toxicity, variants
 
 QUERIES = {
     "op1_anisotropic_ann": ann.op1_anisotropic_ann,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_flow_resharding": sharding.op10_flow_resharding,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_minhash_dedup": minhash.op12_minhash_dedup,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLES = {
     "op2_pii_spans": pii.ORACLE,
@@ -22,4 +25,7 @@ ORACLES = {
     "op5_jaccard_join": jaccard.ORACLE,
     "op6_secret_scan": secret_scan.ORACLE,
     "op8_exact_topk": topk.ORACLE,
+    "op11_spelling_variants": variants.ORACLE,
+    "op12_minhash_dedup": minhash.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
