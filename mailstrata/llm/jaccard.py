@@ -5,8 +5,8 @@ documents and the empty set; each makes a Voronoi region. With the radius r, x a
 farther from its nearest pivot p than y from its own, the triangle inequality gives
 d(y, p) <= d(y, nearest pivot of y) + r: a document is replicated into all regions within r of its nearest one.
 One that shares nothing with a pivot is not sent there for that: its partners in that region are at least 1 - r from
-the pivot, so they are in the region of the empty set too, as it is. Regions are split again by pivots of their own until they
-are small, and then joined exactly over all pairs.
+the pivot, so they are in the region of the empty set too, as it is. A pivot's own links are known from its distances, so it leaves;
+regions get pivots again until all their documents are connected or one is left. Every candidate comes to its links this way, in cells of two as in large ones.
 
 Unrelated documents are at distance 1 from almost every pivot, so the region of the empty set would hold
 nearly all of a large corpus for many rounds. Two bounds that lose no pair cut the corpus first. Shingles that only one
@@ -14,9 +14,9 @@ document holds count against every partner: a document with too many of them has
 shingle is sent once per chunk of documents as 32 bits within a bucket of a few MB of text, which can only take
 a lone shingle for a shared one, never the reverse. The others are put into cells: a linked pair shares one of the
 rarest shingles of each side, as many as a partner can lack plus one, and its sizes are within the window that the distance
-to the empty set in the symmetric difference allows. Cells are the components of these ties; every cell is joined by pivots as above,
-in one task up to CELL documents, beyond that by Spark until its regions fit. What ROUNDS of pivots don't
-make small enough, since all its documents are about as near to one another, is dealt to blocks, and every pair of blocks is joined.
+to the empty set in the symmetric difference allows. Cells are the components of these ties; the first regions of a cell of more than CELL documents
+are made by Spark, with a table for each round, those of all others in the task that holds the cell. What ROUNDS of pivots don't
+separate, since all its documents are about as near to one another, is dealt to blocks, and every pair of blocks gets pivots of its own.
 """
 
 from __future__ import annotations
@@ -33,12 +33,10 @@ from .common import BROADCAST_ROWS, dropped, saved, small
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
-#: Documents of a cell that one task joins, of a region that is joined over all pairs, pivots of a cell, rounds of pivots by Spark, documents of a block after that.
-CELL, LEAF, PIVOTS, ROUNDS, BLOCK = 512, 48, 8, 4, 256
+#: Documents of a cell whose regions one task makes, most pivots of a region and documents for each of them, rounds of pivots by Spark, documents of a block after that.
+CELL, PIVOTS, DOCUMENTS_OF_PIVOT, ROUNDS, BLOCK = 512, 8, 6, 4, 256
 #: Pivots separate where no region keeps more than this share of the documents, and all regions together hold no more than this many times as many.
 SHRUNK, SPREAD = 0.75, 2.0
-#: Documents of a cell whose pairs are compared together with those of other cells.
-FEW = 12
 #: Shingles that one task joins, bytes of text whose shingles one bucket counts, and those that one task reads.
 TASK_SHINGLES, BUCKET_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 32 << 20
 #: Bytes of pivots that are broadcast; more are joined by a shuffle.
@@ -152,7 +150,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str = "text") -> D
     return joined.mapInPandas(made, "cid long, n long, tokens binary")
 
 
-def prefixes(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """cid, n, token: of each set the rarest shingles that others hold, as many as a partner may lack plus one, less those no other holds."""
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,61 +158,14 @@ def prefixes(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
             tokens = np.frombuffer(b"".join(b["tokens"]), np.int64)
             yield pd.DataFrame({"cid": np.repeat(b["cid"].to_numpy(), b["n"]), "n": np.repeat(b["n"].to_numpy(), b["n"]), "token": tokens})
 
-    # one exchange of the tokens serves both the counts and the join with them
-    tokens = sets.mapInPandas(opened, "cid long, n long, token long").repartition(tasks, "token")
+    # counts are summed before they move, and Spark splits a token of very many sets in the join
+    tokens = sets.mapInPandas(opened, "cid long, n long, token long")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     held = tokens.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     room = F.col("n") - least_shared("n", percent) + 1 - (F.col("n") - F.size("held"))
     return held.where(room > 0).select("cid", "n", F.explode(F.slice("held", 1, F.least(room, F.size("held")).cast("int"))).alias("x")).select("cid", "n", F.col("x.token").alias("token"))
 
 
-def link_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the smallest id that it is linked to within the cell, itself included, over all pairs of the cell.
-
-    Pairs of sets that are known to be connected aren't compared again: a set of the largest component needs no row of its own.
-    """
-    c = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(c), sizes)
-    order = np.argsort(tokens, kind="stable")
-    posted, starts = owner[order], np.flatnonzero(np.r_[True, np.diff(tokens[order]) != 0])
-    ends = np.r_[starts[1:], len(tokens)]
-    place = np.empty(len(tokens), np.int64)
-    place[order] = np.repeat(np.arange(len(starts)), ends - starts)
-    firsts = np.cumsum(sizes) - sizes
-    label = np.arange(c)
-    todo = np.ones(c, bool)
-    while True:
-        largest = np.bincount(label, minlength=c).argmax()
-        left = np.flatnonzero(todo & (label != largest)) if not todo.all() else np.array([0])
-        if not len(left):
-            break
-        i = left[0]
-        todo[i] = False
-        mine = place[firsts[i] : firsts[i] + sizes[i]]
-        many = ends[mine] - starts[mine]
-        at = np.repeat(starts[mine] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        both = np.bincount(posted[at], minlength=c)
-        near = label[100 * both >= percent * (sizes[i] + sizes - both)]
-        label[np.isin(label, near)] = label[i]
-    out = ids.copy()
-    for x in np.unique(label):
-        out[label == x] = ids[label == x].min()
-    return out
-
-
-def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
-    """Jaccard distance of every set (row) to every pivot."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    out = np.empty((len(sets), len(pivots)))
-    for j, p in enumerate(pivots):
-        at = np.minimum(np.searchsorted(p, tokens), len(p) - 1)
-        both = np.bincount(owner[p[at] == tokens], minlength=len(sets))
-        out[:, j] = 1 - both / (sizes + len(p) - both)
-    return out
-
-
 def within(d, nearest, percent: int):
     """Whether a document at distance d from a document pivot belongs to its region, by the distance to its nearest pivot; arrays or columns."""
     return (d < 1) & (d <= nearest + (1 - percent / 100) + 1e-9)
@@ -225,54 +176,105 @@ def beyond(nearest, percent: int):
     return nearest + (1 - percent / 100) + 1e-9 >= 1
 
 
-def region_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int, leaf: int = LEAF, pivots: int = PIVOTS) -> np.ndarray:
-    """Edges (id, smaller id) that connect all linked pairs of a cell: Voronoi regions, split again until they have leaf documents or pivots separate no more."""
-    out = [np.zeros((0, 2), np.int64)]
-    todo = [(np.arange(len(ids)), 0)]
-    while todo:
-        own, depth = todo.pop()
-        if len(own) < 2:
-            continue
-        regions = None
-        if len(own) > leaf:
-            order = np.argsort(mix(ids[own].astype(np.uint64) + np.uint64(depth)), kind="stable")[:pivots]
-            d = distances([sets[i] for i in own], [sets[own[j]] for j in order])
-            nearest = d.min(1)
-            regions = [own[within(d[:, j], nearest, percent)] for j in range(len(order))] + [own[beyond(nearest, percent)]]
-            held = [len(r) for r in regions]
-            if max(held) > SHRUNK * len(own) or sum(held) > SPREAD * len(own):
-                regions = None
-        if regions is None:
-            out.append(np.stack([ids[own], link_cell(ids[own], [sets[i] for i in own], percent)], 1))
-        else:
-            todo += [(r, depth + 1) for r in regions]
-    edges = np.concatenate(out)
-    return edges[edges[:, 0] != edges[:, 1]]
-
-
-def pair_edges(cells: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int, hold: int = 1 << 22) -> np.ndarray:
-    """Edges between all linked pairs of small cells, many cells at once. Rows lie in the order of their cells; hold: shingles compared at a time."""
+def overlaps(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, hold: int = 1 << 22) -> np.ndarray:
+    """Shingles that the sets left[i] and right[i] share; set j holds sizes[j] of tokens, one set after the other. hold: shingles compared at a time."""
     firsts = np.cumsum(sizes) - sizes
-    pairs = [np.zeros((0, 2), np.int64)]
-    for j in range(1, len(cells)):
-        at = np.flatnonzero(cells[:-j] == cells[j:])
-        if not len(at):
-            break
-        at = at[100 * np.minimum(sizes[at], sizes[at + j]) >= percent * np.maximum(sizes[at], sizes[at + j])]
-        pairs.append(np.stack([at, at + j], 1))
-    pairs = np.concatenate(pairs)
-    part = np.cumsum(sizes[pairs].sum(1)) // hold
-    out = [np.zeros((0, 2), np.int64)]
-    for x in np.unique(part):
-        some = pairs[part == x]
-        rows, n = some.T.ravel(), sizes[some.T.ravel()]
+    out = np.zeros(len(left), np.int64)
+    part = np.cumsum(sizes[left] + sizes[right]) // hold
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(part) != 0]), len(left)] if len(left) else [0]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = np.r_[left[a:z], right[a:z]]
+        n = sizes[rows]
         at = np.repeat(firsts[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        which, held = np.repeat(np.tile(np.arange(len(some)), 2), n), tokens[at]
+        which, held = np.repeat(np.tile(np.arange(z - a), 2), n), tokens[at]
         order = np.lexsort((held, which))
         which, held = which[order], held[order]
-        both = np.bincount(which[1:][(held[1:] == held[:-1]) & (which[1:] == which[:-1])], minlength=len(some))
-        out.append(ids[some[100 * both >= percent * (sizes[some].sum(1) - both)]])
-    return np.concatenate(out)
+        out[a:z] = np.bincount(which[1:][(held[1:] == held[:-1]) & (which[1:] == which[:-1])], minlength=z - a)
+    return out
+
+
+def _joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the least place of each component), with the components of a[i] and b[i] made one."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def _next_regions(region: np.ndarray, doc: np.ndarray, pair_row: np.ndarray, slot: np.ndarray, d: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(region, doc) of the regions that the pivots make of each region; d: distance of row pair_row to the pivot of that slot. A region that they don't separate stays whole."""
+    nearest = np.full(len(doc), 1.0)
+    np.minimum.at(nearest, pair_row, d)
+    there = within(d, nearest[pair_row], percent)
+    empty = np.flatnonzero(beyond(nearest, percent))
+    rows, slots = np.r_[pair_row[there], empty], np.r_[slot[there], np.full(len(empty), -1)]
+    made = region[rows] * (PIVOTS + 1) + slots + 1
+    before = np.bincount(region)
+    names, number = np.unique(made, return_inverse=True)
+    held = np.bincount(number)
+    parent = names // (PIVOTS + 1)
+    most, total = np.zeros(len(before), np.int64), np.bincount(parent, held, len(before))
+    np.maximum.at(most, parent, held)
+    stuck = (most > SHRUNK * before) | (total > SPREAD * before)
+    keep, whole = ~stuck[region[rows]], stuck[region]
+    return np.unique(np.r_[made[keep], -1 - region[whole]], return_inverse=True)[1], np.r_[doc[rows[keep]], doc[whole]]
+
+
+def region_edges(cells: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, met): edges (id, id) that connect all linked pairs of each cell, and for each row how many distances to pivots were taken.
+
+    All cells go through the same rounds together. In a round every region chooses pivots, documents of its smaller components first; all its
+    documents are measured against them, which finds every link of a pivot, and the others go on to the regions of the pivots within the
+    windows. A region whose documents are connected already, or that has one, is done.
+    """
+    label = np.arange(len(ids))
+    met = np.zeros(len(ids), np.int64)
+    out = [np.zeros((0, 2), np.int64)]
+    region, doc = np.unique(cells, return_inverse=True)[1], np.arange(len(ids))
+    depth = 0
+    while True:
+        low, high = np.full(region.max(initial=-1) + 1, len(ids)), np.full(region.max(initial=-1) + 1, -1)
+        np.minimum.at(low, region, label[doc])
+        np.maximum.at(high, region, label[doc])
+        open_ = low[region] < high[region]
+        region, doc = np.unique(region[open_], return_inverse=True)[1], doc[open_]
+        if not len(doc):
+            return np.concatenate(out), met
+        # pivots: the documents of the smaller components of a region first, then by a hash
+        common = np.unique(np.stack([region, label[doc]], 1), axis=0, return_inverse=True, return_counts=True)
+        order = np.lexsort((mix(ids[doc].astype(np.uint64) + np.uint64(depth)), common[2][common[1].ravel()], region))
+        region, doc = region[order], doc[order]
+        held = np.bincount(region)
+        first = np.cumsum(held) - held
+        rank = np.arange(len(doc)) - first[region]
+        wanted = np.clip(held // DOCUMENTS_OF_PIVOT, 1, PIVOTS)
+        pivot = rank < wanted[region]
+        # every other document of the region against each of its pivots
+        many = wanted[region]
+        pair_row = np.repeat(np.arange(len(doc)), many)
+        slot = np.arange(len(pair_row)) - np.repeat(np.cumsum(many) - many, many)
+        pair_pivot = first[region[pair_row]] + slot
+        other = pair_row != pair_pivot
+        pair_row, slot, pair_pivot = pair_row[other], slot[other], pair_pivot[other]
+        a, b = doc[pair_row], doc[pair_pivot]
+        both = overlaps(a, b, sizes, tokens)
+        union = sizes[a] + sizes[b] - both
+        np.add.at(met, a, 1)
+        np.add.at(met, b, 1)
+        linked = 100 * both >= percent * union
+        new = label[a[linked]] != label[b[linked]]
+        out.append(np.stack([ids[a[linked][new]], ids[b[linked][new]]], 1))
+        label = _joined_labels(label, a[linked], b[linked])
+        rest = ~pivot
+        number = np.cumsum(rest) - 1
+        left = rest[pair_row]
+        region, doc = _next_regions(region[rest], doc[rest], number[pair_row[left]], slot[left], 1 - both[left] / union[left], percent)
+        depth += 1
 
 
 def _joined(work: DataFrame, key: str, percent: int, shingles: int) -> DataFrame:
@@ -280,14 +282,9 @@ def _joined(work: DataFrame, key: str, percent: int, shingles: int) -> DataFrame
     buckets = max(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / TASK_SHINGLES))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates([key, "cid"]).sort_values(key, kind="stable")
-        docs = rows.groupby(key)[key].transform("size")
-        few = rows[docs <= FEW]
-        tokens = np.frombuffer(b"".join(few["tokens"]), np.uint64)
-        out = [pair_edges(few[key].to_numpy(np.int64), few["cid"].to_numpy(np.int64), few["n"].to_numpy(np.int64), tokens, percent)]
-        for _, cell in rows[docs > FEW].groupby(key, sort=False):
-            out.append(region_edges(cell["cid"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in cell["tokens"]], percent))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        rows = rows.drop_duplicates([key, "cid"])
+        edges, _ = region_edges(rows[key].to_numpy(np.int64), rows["cid"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), np.frombuffer(b"".join(rows["tokens"]), np.uint64), percent)
+        return pd.DataFrame(edges, columns=["a", "b"])
 
     dealt = work.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition(buckets, "_bucket")
     return dealt.groupBy("_bucket").applyInPandas(join, "a long, b long")
@@ -374,10 +371,9 @@ def linked_rows(docs: DataFrame, k: int, percent: int, cell: int = CELL, text: s
     classes = class_rows(rows, F.max("shared").alias("shared"))
     wanted = saved(classes.where(F.col("shared") >= least_shared("n", percent)).select("cid", "key", *CLASS), "jaccard-wanted")
     sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid"]), "jaccard-sets")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))
     # a pair's sizes lie in one band or in neighbouring ones: each document goes to its band and the next
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    placed = saved(prefixes(sets, percent, tasks).select("cid", "token", F.explode(F.array(band, band + 1)).alias("band")), "jaccard-ties")
+    placed = saved(prefixes(sets, percent).select("cid", "token", F.explode(F.array(band, band + 1)).alias("band")), "jaccard-ties")
     ties = placed.groupBy("token", "band").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
     cells = components(placed.join(ties, ["token", "band"]).select(F.col("cid").alias("a"), F.col("least").alias("b")))
     work = saved(sets.join(cells, F.col("cid") == F.col("node")).select(F.col("component").alias("cell"), "cid", "n", "tokens"), "jaccard-cells")

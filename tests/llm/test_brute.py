@@ -69,12 +69,31 @@ def test_regions_lose_no_link():
                 keep = rng.rand(80) < rng.choice([0.5, 0.8, 0.95, 1.0])
                 sets.append(np.unique(np.r_[base[keep], rng.randint(0, 1 << 60, rng.randint(1, 8)).astype(np.uint64)]))
         ids = rng.permutation(len(sets)) + 100
-        edges = jaccard.region_edges(ids, sets, percent, leaf=6, pivots=4)
+        cells = np.zeros(len(ids), np.int64)
+        edges, met = jaccard.region_edges(cells, ids, np.array([len(x) for x in sets]), np.concatenate(sets), percent)
+        assert (met >= 1).all()
         groups = lambda es: jaccard.np.array(sorted(_roots(ids.tolist(), es)))
         pairs = [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
         assert len(pairs) > 20 and (groups(edges.tolist()) == groups(pairs)).all()
 
 
+def test_every_candidate_meets_pivots():
+    """Cells of two, three and more documents at once: no row escapes the pivots, a lone one has none, and links are those of all pairs within cells."""
+    rng = np.random.RandomState(2)
+    cells, sets = [], []
+    for cell in range(120):
+        base = rng.randint(0, 1 << 60, 50).astype(np.uint64)
+        for _ in range(rng.choice([1, 2, 3, 9, 40])):
+            sets.append(np.unique(np.r_[base[rng.rand(50) < rng.choice([0.6, 0.9, 0.97])], rng.randint(0, 1 << 60, rng.randint(1, 4)).astype(np.uint64)]))
+            cells.append(cell)
+    cells, ids = np.array(cells), np.arange(len(sets)) + 7
+    edges, met = jaccard.region_edges(cells, ids, np.array([len(x) for x in sets]), np.concatenate(sets), 80)
+    assert ((met > 0) == (np.bincount(cells)[cells] > 1)).all()
+    pairs = [(ids[i], ids[j]) for i in range(len(sets)) for j in range(i) if cells[i] == cells[j] and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    assert len(pairs) > 200 and sorted(_roots(ids.tolist(), edges.tolist())) == sorted(_roots(ids.tolist(), pairs))
+    assert {tuple(sorted(e)) for e in edges.tolist()} <= {tuple(sorted(p)) for p in pairs}
+
+
 def _roots(ids, edges):
     root = {i: i for i in ids}
     changed = True
