@@ -150,16 +150,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str = "text") -> D
     return joined.mapInPandas(made, "cid long, n long, tokens binary")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """cid, n, token: of each set the rarest shingles that others hold, as many as a partner may lack plus one, less those no other holds."""
+def opened(sets: DataFrame) -> DataFrame:
+    """cid, n, token: a row for every shingle of sets (cid, n, tokens)."""
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (whole.iloc[i : i + 250] for whole in batches for i in range(0, len(whole), 250)):
             tokens = np.frombuffer(b"".join(b["tokens"]), np.int64)
             yield pd.DataFrame({"cid": np.repeat(b["cid"].to_numpy(), b["n"]), "n": np.repeat(b["n"].to_numpy(), b["n"]), "token": tokens})
 
+    return sets.mapInPandas(rows, "cid long, n long, token long")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """cid, n, token: of each set the rarest shingles that others hold, as many as a partner may lack plus one, less those no other holds."""
     # counts are summed before they move, and Spark splits a token of very many sets in the join
-    tokens = sets.mapInPandas(opened, "cid long, n long, token long")
+    tokens = opened(sets)
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     held = tokens.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     room = F.col("n") - least_shared("n", percent) + 1 - (F.col("n") - F.size("held"))

@@ -5,8 +5,9 @@ An empty bin borrows from the first filled one of a sequence of bins that is its
 are independent of one another (optimal densification). ROWS bins make a band, a bucket is what agrees in a band.
 
 A bucket emits a star, edges from its least member to all others, never all pairs. Edges are confirmed on the full sets, and components tell which buckets
-still hold unlinked members. These get more stars, twice as many in each round, whose hubs have not been hubs of the bucket before; a hub has been compared
-with all that it isn't connected with and leaves. So pairs stay few while near copies are linked, and no link between members of a bucket is lost.
+still hold unlinked members; these emit a few more stars with other hubs. What is then outside the largest component of a bucket is little: each such member
+becomes the hub of one more star, over the members that it isn't connected with, so no link between members of a bucket is lost. Of the buckets that a
+pair shares only the first one emits it then. Shingles that no other candidate holds count against every partner: an edge that they put below the threshold is left out.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import dropped, saved, small
 from .components import components
-from .jaccard import _chunks, class_rows, named_rows, row_key, sets_of
+from .jaccard import _chunks, class_rows, named_rows, opened, row_key, sets_of
 from .shingles import fingerprint, mix, shingle_sets
 
 #: Bins of a signature and bins of a band: a pair of Jaccard index 0.85 meets in one of the 32 bands with a probability of 1 - 4 * 10^-5.
 BINS, ROWS = 256, 8
 #: Words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 85
+#: Stars of an unsettled bucket in each round before its last ones.
+STARS = (1, 8)
 #: Bins of its own sequence that an empty bin tries before it takes the next filled one.
 TRIES = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -100,38 +103,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInPandas(compared, "a long, b long, linked boolean")
 
 
-def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that connect all linked members of each bucket of members (band, cid, n; saved). Saved."""
-    found, tested, slots, label = None, None, 1, None
-    while True:
-        held = members.withColumn("comp", F.col("cid")) if label is None else members.join(label, F.col("cid") == F.col("_node"), "left").select("band", "cid", "n", F.coalesce("_comp", "cid").alias("comp"))
-        held = saved(held, "minhash-held")
-        # a bucket whose members are all connected is settled
-        open_ = saved(held.groupBy(F.col("band").alias("_band")).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("_band"), "minhash-open")
-        if open_.isEmpty():
-            dropped(held, open_)
+def _may_link(n, shared, other_n, other_shared, percent: int):
+    """Whether sets of n and other_n shingles can reach the threshold, when at most shared and other_shared of them are held by any other set."""
+    both = F.least(shared, other_shared)
+    return 100 * both >= percent * (n + other_n - both)
+
+
+def with_shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (band, at, cid, n) with shared: shingles that another of sets holds, too. Counts are summed before they move."""
+    lone = opened(sets).groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("cid").alias("_cid")).where("sets = 1").groupBy("_cid").agg(F.count(F.lit(1)).alias("_lone"))
+    lone = saved(lone, "minhash-lone")
+    return members.join(small(lone), F.col("cid") == F.col("_cid"), "left").select("band", "at", "cid", "n", (F.col("n") - F.coalesce("_lone", F.lit(0))).alias("shared"))
+
+
+HUB = ["at", "cid", "n", "shared", "comp", "main", "bands"]
+
+
+def _open_members(members: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """band, at, cid, n, shared, comp of the members of buckets that hold several components, less those that can have no partner there. Saved."""
+    held = members.withColumn("comp", F.col("cid"))
+    if label is not None:
+        held = members.join(label, F.col("cid") == F.col("_node"), "left").select(*members.columns, F.coalesce("_comp", "cid").alias("comp"))
+    ends = held.groupBy(F.col("band").alias("_band")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"))
+    open_ = saved(ends.where("low < high").select("_band", "least"), "minhash-open")
+    # a partner has no fewer shingles than the least of the bucket, nor than the threshold asks for
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100).cast("long"))
+    fits = _may_link(F.col("n"), F.col("shared"), partner, F.col("shared"), percent)
+    out = saved(held.join(open_, F.col("band") == F.col("_band")).where(fits).drop("_band", "least"), "minhash-open-members")
+    dropped(open_)
+    return out
+
+
+def _star_pairs(held: DataFrame, slots: int, percent: int) -> DataFrame:
+    """a, b (a < b), once each: from the least member of each slot of a bucket to all members of other components."""
+    dealt = held.withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(slots)), F.lit(slots)))
+    hubs = dealt.groupBy("band", "slot").agg(F.min(F.struct("cid", "n", "shared", "comp")).alias("hub"))
+    hubs = hubs.select(F.col("band").alias("_band"), *[F.col(f"hub.{c}").alias(f"_{c}") for c in ("cid", "n", "shared", "comp")])
+    fits = (F.col("comp") != F.col("_comp")) & _may_link(F.col("n"), F.col("shared"), F.col("_n"), F.col("_shared"), percent)
+    return held.join(hubs, F.col("band") == F.col("_band")).where(fits).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct()
+
+
+def _last_pairs(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b), once each: from every member outside the largest component of its bucket to all members of other components there."""
+    sizes = held.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy(F.col("band").alias("_of")).agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    keys = saved(classes.join(held.select(F.col("cid").alias("_held")).distinct(), F.col("cid") == F.col("_held"), "left_semi").select(F.col("cid").alias("_key"), "bands"), "minhash-bands")
+    rows = saved(held.join(sizes, F.col("band") == F.col("_of")).join(keys, F.col("cid") == F.col("_key")).select("band", *HUB[:-2], (F.col("comp") == F.col("largest")).alias("main"), "bands"), "minhash-strays")
+    dropped(keys)
+    hubs = rows.where("NOT main").select(F.col("band").alias("_band"), *[F.col(c).alias(f"_{c}") for c in HUB])
+    fits = (F.col("comp") != F.col("_comp")) & (F.col("main") | (F.col("cid") > F.col("_cid"))) & _may_link(F.col("n"), F.col("shared"), F.col("_n"), F.col("_shared"), percent)
+    first = F.expr("array_position(zip_with(bands, _bands, (x, y) -> x = y), true) = at + 1")
+    return rows.join(hubs, (F.col("band") == F.col("_band")) & fits & first).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b"))
+
+
+def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that connect all linked members of each bucket of members (band, at, cid, n, shared; saved); classes: cid, bands. Saved."""
+    links, tested, label = None, None, None
+    for slots in (*STARS, None):
+        held = _open_members(members, label, percent)
+        if held.isEmpty():
+            dropped(held)
             break
-        held = held.join(open_, F.col("band") == F.col("_band"), "left_semi").withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(slots)), F.lit(slots)))
-        hubs = saved(held.groupBy("band", "slot").agg(F.min(F.struct("cid", "n", "comp")).alias("hub")).select(F.col("band").alias("_band"), "hub.*"), "minhash-hubs")
-        hub = hubs.select("_band", F.col("cid").alias("_hub"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        fits = (F.col("comp") != F.col("_comp")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-        pairs = held.join(hub, F.col("band") == F.col("_band")).where(fits).select(F.least("cid", "_hub").alias("a"), F.greatest("cid", "_hub").alias("b")).distinct()
+        pairs = _star_pairs(held, slots, percent) if slots else _last_pairs(held, classes, percent)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select(F.col("a").alias("_ta"), F.col("b").alias("_tb")), (F.col("a") == F.col("_ta")) & (F.col("b") == F.col("_tb")), "left_anti")
         checked = saved(confirmed(pairs, sets, percent), "minhash-checked")
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        links = checked.where("linked").select("a", "b")
-        found = links if found is None else found.unionByName(links)
-        if not links.isEmpty():
-            before, label = label, components(found)
-            label = saved(label.select(F.col("node").alias("_node"), F.col("component").alias("_comp")), "minhash-labels")
-            dropped(before)
-        was = hubs.select("_band", F.col("cid").alias("_cid"))
-        left = saved(held.join(was, (F.col("band") == F.col("_band")) & (F.col("cid") == F.col("_cid")), "left_anti").select("band", "cid", "n"), "minhash-members")
-        dropped(members, held, open_, hubs)
-        members, slots = left, 2 * slots
-    dropped(members, label)
-    return found if found is not None else sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+        dropped(held)
+        tested = checked if tested is None else tested.unionByName(checked)
+        links = tested.where("linked").select("a", "b")
+        before, label = label, components(links).select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
+        label = saved(label, "minhash-labels")
+        dropped(before)
+    dropped(label)
+    return links if links is not None else sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -143,15 +186,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     """
     rows = saved(signed_rows(docs, k, text), "minhash-rows")
     classes = class_rows(rows, F.first("bands").alias("bands"))
-    keys = saved(classes.select("cid", "n", F.explode("bands").alias("band")), "minhash-keys")
+    keys = saved(classes.select("cid", "n", F.posexplode("bands").alias("at", "band")), "minhash-keys")
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("_classes")).where(F.col("_classes") > 1).select(F.col("band").alias("_band"))
     members = saved(keys.join(shared, F.col("band") == F.col("_band"), "left_semi"), "minhash-members")
     dropped(keys)
     met = members.select(F.col("cid").alias("_cid")).distinct()
     wanted = saved(classes.join(met, F.col("cid") == F.col("_cid"), "left_semi").select("cid", "key", "n", "f1", "f2"), "minhash-wanted")
     sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid"]), "minhash-sets")
-    found = components(star_links(members, sets, percent))
-    dropped(wanted, sets)
+    candidates = saved(with_shared(members, sets), "minhash-candidates")
+    dropped(members)
+    found = components(star_links(candidates, classes, sets, percent))
+    dropped(wanted, sets, candidates)
     out = named_rows(rows, classes, found)
     kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

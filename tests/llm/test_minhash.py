@@ -55,8 +55,10 @@ def test_stars_settle_buckets_of_unlinked_members(spark):
         base = rng.randint(0, 1 << 60, 40).astype(np.uint64)
         sets += [np.sort(base), np.sort(base[1:])]
     table = minhash.saved(spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "cid long, n long, tokens binary"))
-    members = minhash.saved(spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "band long, cid long, n long"))
-    links = {tuple(sorted(r)) for r in minhash.star_links(members, table, 85).collect()}
+    rows = [(band, at, i, len(s), len(s)) for at, band in enumerate((7, 8)) for i, s in enumerate(sets)]
+    members = minhash.saved(spark.createDataFrame(rows, "band long, at int, cid long, n long, shared long"))
+    classes = spark.createDataFrame([(i, [7, 8]) for i in range(len(sets))], "cid long, bands array<long>")
+    links = {tuple(sorted(r)) for r in minhash.star_links(members, classes, table, 85).collect()}
     assert links == {(i, i + 1) for i in range(0, 24, 2)}
 
 
