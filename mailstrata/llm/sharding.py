@@ -167,7 +167,8 @@ def _bounded(old: int, blocks: int) -> None:
 def reshard(docs: DataFrame, new: int = SHARDS, old: int = OLD_SHARDS, blocks: int = BLOCKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot for every row; slots of a shard go from 0 without gaps.
 
-    A null text has no bytes and the CRC of an empty one. Rows that agree in id and text are
+    Bytes near equal and copies of one text kept together exclude one another where a group of copies is larger than a shard, and the law is on bytes: copies
+    lie together in old shards only, blocks are made by ids and split them. A null text has no bytes and the CRC of an empty one. Rows that agree in id and text are
     interchangeable and stay in one block. An empty table gives no rows.
     """
     _bounded(old, blocks)
@@ -203,12 +204,12 @@ def write_shards(rows: DataFrame, path: str, shard: str) -> None:
 def read_shards(spark, path: str, schema=None, only: set[int] | None = None) -> DataFrame:
     """All rows of the present generation (only: of these shards), with shard. An empty one needs the schema of its rows."""
     found = sorted((s, p) for s, p in _manifest(spark, path).items() if only is None or s in only)
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("shard", F.lit(0))
     reader = spark.read.schema(schema) if schema else spark.read
-    parts = [reader.parquet(p).withColumn("shard", F.lit(s)) for s, p in found]
-    out = parts[0] if parts else spark.createDataFrame([], schema).withColumn("shard", F.lit(0))
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    # one scan of all folders; a file's folder names its shard
+    rows = reader.parquet(*[p for _, p in found])
+    return rows.withColumn("shard", F.regexp_extract("_metadata.file_path", r"/shard=(\d+)/", 1).cast("int"))
 
 
 def rewrite_affected(spark, path: str, moves: DataFrame, text: str = "text") -> list[int]:
@@ -238,8 +239,9 @@ def _rewrite(spark, path: str, affected: set[int], moved, schema=None) -> list[i
 
 def _write(spark, rows: DataFrame, path: str, kept: dict[int, str]) -> None:
     generation = f"{path}/generation-{uuid.uuid4().hex}"
-    # a shard is written by several tasks, copies of one text among them by their ids
-    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(WRITERS))
+    # as many tasks write as a shuffle of this size has; copies of one text go to the writers of their shard by their ids
+    writers = min(WRITERS, max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS))
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(writers))
     rows.repartition("shard", part).write.option("compression", "zstd").partitionBy("shard").parquet(generation)
     shards = [r[0] for r in spark.read.schema(rows.schema).parquet(generation).select("shard").distinct().collect()]
     now = kept | {s: f"{generation}/shard={s}" for s in shards}
