@@ -1,8 +1,8 @@
 """The rule catalogue as data and its evaluation over a wide table of session facts.
 
 Outcomes have four values: FAIL, PASS, UNKNOWN, NOT_APPLICABLE; none is ever null. A rule is a
-CASE over columns of the facts, and all rules come from one pass: an array of results is built per row and exploded, so
-there is no join with the catalogue and no shuffle.
+CASE over columns of the facts that gives the outcome's place in this order, and all rules come from one pass: small numbers are exploded,
+and what the catalogue says of a rule is looked up in literal arrays, so there is no join with it and no shuffle.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ PRIORITIES = {
 }
 CONFIDENCES = ["CONFIRMED", "PROBABLE", "LOW"]
 OUTCOMES = ["FAIL", "PASS", "UNKNOWN", "NOT_APPLICABLE"]
+FAIL, PASS, UNKNOWN, NOT_APPLICABLE = range(4)
 
 
 @dataclass(frozen=True)
@@ -92,18 +93,18 @@ def _true(c: str) -> Column:
 
 
 def _fails(test: Column) -> Column:
-    return F.when(test, "FAIL").otherwise("PASS")
+    return F.when(test, FAIL).otherwise(PASS)
 
 
 def outcomes(p: Policy) -> dict[str, Column]:
-    """rule id -> outcome over the columns of session facts."""
-    na, unknown = F.lit("NOT_APPLICABLE"), F.lit("UNKNOWN")
+    """rule id -> place of the outcome in OUTCOMES, over the columns of session facts."""
+    na, unknown = F.lit(NOT_APPLICABLE), F.lit(UNKNOWN)
     no_tls, enc = ~_true("has_tls"), F.col("encryption")
     cipher = lambda test: F.when(no_tls, na).when(F.col("suite").isNull() | ~_true("suite_known"), unknown).otherwise(_fails(F.coalesce(test, F.lit(False))))
     cert = lambda verdict: F.when(no_tls | (F.coalesce(F.col("cert_visibility"), F.lit("")) != "OBSERVED"), na).otherwise(verdict)
     at = F.col("analysis_us") if p.current_time else F.col("capture_us")
     dates = lambda c, test: cert(F.when(F.col(c).isNull() | at.isNull(), unknown).otherwise(_fails(test)))
-    check = lambda c: cert(F.when(F.col(c) == "FAILED", "FAIL").when(F.col(c) == "PASSED", "PASS").otherwise(unknown))
+    check = lambda c: cert(F.when(F.col(c) == "FAILED", FAIL).when(F.col(c) == "PASSED", PASS).otherwise(unknown))
     identified = F.coalesce(F.col("detection").isin("CONFIRMED", "PROBABLE"), F.lit(False)) & ~_true("implicit_tls")
     upgraded = F.coalesce(F.col("upgrade_state").isin("UPGRADE_ACCEPTED", "TLS_BYTES_OBSERVED"), F.lit(False))
     rejected = F.coalesce(F.col("upgrade_state") == "UPGRADE_REJECTED", F.lit(False))
@@ -120,24 +121,24 @@ def outcomes(p: Policy) -> dict[str, Column]:
         "CERT-005": check("chain_status"),
         "CERT-006": check("hostname_status"),
         "CERT-007": cert(F.when(F.coalesce(F.col("eku_count"), F.lit(0)) == 0, unknown).otherwise(_fails(~_true("eku_server_auth")))),
-        "MAIL-001": F.when(~identified, na).when(no_auth, F.when(F.col("parse_state").isin("COMPLETE", "HANDED_OFF"), "PASS").otherwise(unknown)).when(upgraded & ~early, "PASS").otherwise("FAIL"),
+        "MAIL-001": F.when(~identified, na).when(no_auth, F.when(F.col("parse_state").isin("COMPLETE", "HANDED_OFF"), PASS).otherwise(unknown)).when(upgraded & ~early, PASS).otherwise(FAIL),
         "MAIL-002": F.when(~identified | ~upgraded, na).otherwise(_fails(early)),
-        "MAIL-003": F.when(~identified | ~_true("upgrade_requested"), na).when(rejected, "FAIL").when(upgraded, "PASS").otherwise(unknown),
+        "MAIL-003": F.when(~identified | ~_true("upgrade_requested"), na).when(rejected, FAIL).when(upgraded, PASS).otherwise(unknown),
         "MAIL-004": F.when(~identified | ~upgraded, na).otherwise(_fails(F.col("upgrade_state") == "UPGRADE_ACCEPTED")),
         "MAIL-005": F.when(~identified | ~rejected, na).otherwise(_fails(F.coalesce(F.col("commands_after_refusal"), F.lit(0)) > 0)),
         "MAIL-006": F.when(~identified, na).when(~_true("capabilities_seen"), unknown).otherwise(_fails(~_true("upgrade_advertised"))),
-        "MAIL-007": F.when(~_true("implicit_tls"), na).when(F.col("selected_version").isNotNull(), "PASS").otherwise(unknown),
+        "MAIL-007": F.when(~_true("implicit_tls"), na).when(F.col("selected_version").isNotNull(), PASS).otherwise(unknown),
         "TLS-CIPHER-001": cipher(enc == "NULL"),
         "TLS-CIPHER-002": F.when(_true("tls13_suite"), na).otherwise(cipher(F.col("authentication") == "ANONYMOUS")),
         "TLS-CIPHER-003": cipher(enc.isin(WEAK)),
         "TLS-CIPHER-004": cipher(enc == "3DES_EDE_CBC"),
         "TLS-CIPHER-005": cipher(~enc.isin(APPROVED)),
-        "TLS-CIPHER-006": F.when(no_tls | F.col("suite").isNull(), na).when(~_true("suite_known"), unknown).otherwise("PASS"),
-        "TLS-KEX-001": F.when(no_tls, na).when(fs.isin("STATIC_RSA", "PSK_ONLY", "NOT_FORWARD_SECRET"), "FAIL").when(fs.isin("EPHEMERAL_OBSERVED", "CAPABLE"), "PASS").otherwise(unknown),
-        "TLS-KEX-002": F.when(~no_tls & (F.col("group_family") == "HYBRID"), "PASS").otherwise(na),
+        "TLS-CIPHER-006": F.when(no_tls | F.col("suite").isNull(), na).when(~_true("suite_known"), unknown).otherwise(PASS),
+        "TLS-KEX-001": F.when(no_tls, na).when(fs.isin("STATIC_RSA", "PSK_ONLY", "NOT_FORWARD_SECRET"), FAIL).when(fs.isin("EPHEMERAL_OBSERVED", "CAPABLE"), PASS).otherwise(unknown),
+        "TLS-KEX-002": F.when(~no_tls & (F.col("group_family") == "HYBRID"), PASS).otherwise(na),
         "TLS-PROTO-001": F.when(no_tls, na).when(F.col("selected_version").isNull(), unknown).otherwise(_fails(F.col("selected_version") < p.minimum_version)),
         "TLS-PROTO-002": F.when(no_tls, na).when(~_true("client_hello"), unknown).otherwise(_fails(F.coalesce(F.col("lowest_offered") < p.minimum_version, F.lit(False)))),
-        "TLS-PROTO-003": F.when(no_tls, na).when(_true("fatal_alert"), "FAIL").when(F.coalesce(F.col("handshake_state"), F.lit("NOT_OBSERVED")).isin("NOT_OBSERVED", "INDETERMINATE"), unknown).otherwise("PASS"),
+        "TLS-PROTO-003": F.when(no_tls, na).when(_true("fatal_alert"), FAIL).when(F.coalesce(F.col("handshake_state"), F.lit("NOT_OBSERVED")).isin("NOT_OBSERVED", "INDETERMINATE"), unknown).otherwise(PASS),
     }
 
 
@@ -148,35 +149,54 @@ def confidence(family: Column) -> Column:
     return F.when(family == "MAIL", mail).otherwise(tls)
 
 
-def _outcome_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list, dict[str, str]]:
-    """facts' ids with a column for each enabled rule's outcome and the confidences, the enabled rules, and the columns' names."""
+def _outcome_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list]:
+    """facts' ids, the confidences and for each enabled rule, the most severe first, a column _o<number> with the place of its outcome; and these rules."""
     cases = outcomes(policy)
-    enabled = [r for r in RULES if r[0] not in policy.disabled]
-    name = {r: f"_o{i}" for i, (r, *_) in enumerate(enabled)}
+    enabled = sorted((r for r in RULES if r[0] not in policy.disabled), key=lambda r: (SEVERITIES.index(r[1]), r[0]))
     sure = [confidence(F.lit("TLS")).alias("_tls"), confidence(F.lit("MAIL")).alias("_mail")]
-    return facts.select("capture_id", "session_id", *[cases[r].alias(name[r]) for r in name], *sure), enabled, name
+    return facts.select("capture_id", "session_id", *[cases[r].alias(f"_o{i}") for i, (r, *_) in enumerate(enabled)], *sure, *[c for c in EVIDENCE if c in facts.columns]), enabled
+
+
+#: Columns of facts, where they have them, that hold what a family of rules rests on: offsets and numbers of packets.
+EVIDENCE = ["tls_packets", "mail_offsets", "mail_packets"]
+
+
+def _looked_up(values: list, number: str) -> str:
+    each = ", ".join(f"{v!r}D" if isinstance(v, float) else f"'{v}'" for v in values)
+    return f"element_at(array({each}), {number} + 1)"
+
+
+def _weights(enabled: list, policy: Policy) -> list[float]:
+    return [float(policy.weights.get(r, WEIGHTS[s])) for r, s, *_ in enabled]
 
 
 def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
 
-    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for.
+    counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for. Where facts have
+    the columns of EVIDENCE a result also has offsets and packets: of mail rules those of the dialogue, of the others the handshake's packets.
     """
     policy = policy or Policy()
-    first, enabled, name = _outcome_columns(facts, policy)
+    first, enabled = _outcome_columns(facts, policy)
 
-    def row(rule, severity, group):
-        stands_before = [r for r, s, g, _ in enabled if g == group and (SEVERITIES.index(s), r) < (SEVERITIES.index(severity), rule)]
-        counts = F.col(name[rule]) == "FAIL"
-        for r in stands_before:
-            counts = counts & (F.col(name[r]) != "FAIL")
-        sure = F.lit("LOW") if rule == "MAIL-004" else F.col("_mail" if rule.startswith("MAIL") else "_tls")
-        fixed = {"rule_id": rule, "severity": severity, "dedup_group": group, "weight": policy.weights.get(rule, WEIGHTS[severity])}
-        return F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col(name[rule]).alias("outcome"), sure.alias("confidence"), counts.alias("counts"))
+    def row(i: int, group: str) -> str:
+        before = "".join(f" AND _o{j} <> {FAIL}" for j in range(i) if enabled[j][2] == group)
+        return f"named_struct('n', {i}, 'o', _o{i}, 'counts', _o{i} = {FAIL}{before})"
 
+    each = ", ".join(row(i, g) for i, (_, _, g, _) in enumerate(enabled))
+    held = [c for c in EVIDENCE if c in facts.columns]
     # the array is written inside explode: of a column, Spark would infer a filter that holds all of it once more
-    each = F.explode(F.array(*[row(r, s, g) for r, s, g, _ in enabled])).alias("r")
-    return first.select("capture_id", "session_id", each).select("capture_id", "session_id", "r.*")
+    rows = first.select("capture_id", "session_id", "_tls", "_mail", *held, F.expr(f"explode(array({each}))").alias("r"))
+    mail, lowest = [i for i, r in enumerate(enabled) if r[0].startswith("MAIL")], [i for i, r in enumerate(enabled) if r[0] == "MAIL-004"]
+    of_mail = f"r.n IN ({', '.join(map(str, mail or [-1]))})"
+    sure = f"CASE WHEN r.n IN ({', '.join(map(str, lowest or [-1]))}) THEN 'LOW' WHEN {of_mail} THEN _mail ELSE _tls END"
+    names = {"rule_id": 0, "severity": 1, "dedup_group": 2}
+    fixed = [F.expr(_looked_up([r[k] for r in enabled], "r.n")).alias(n) for n, k in names.items()]
+    evidence = [F.expr(f"CASE WHEN {of_mail} THEN mail_offsets ELSE array() END").alias("offsets"), F.expr(f"CASE WHEN {of_mail} THEN mail_packets ELSE tls_packets END").alias("packets")] if len(held) == len(EVIDENCE) else []
+    return rows.select(
+        "capture_id", "session_id", *fixed, F.expr(_looked_up(_weights(enabled, policy), "r.n")).alias("weight"), F.expr(_looked_up(OUTCOMES, "r.o")).alias("outcome"),
+        F.expr(sure).alias("confidence"), "r.counts", *evidence,
+    )
 
 
 def failures(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -184,45 +204,48 @@ def failures(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
     return evaluate(facts, policy).where("counts")
 
 
-def _unit_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
-    """capture_id, session_id and for each dedup group its deciding unit: a CASE over one row, FAIL before PASS before UNKNOWN before NOT_APPLICABLE."""
-    first, enabled, name = _outcome_columns(facts, policy)
-    groups: dict[str, list] = {}
-    for r, severity, g, _ in sorted(enabled, key=lambda x: (SEVERITIES.index(x[1]), x[0])):
-        groups.setdefault(g, []).append((r, policy.weights.get(r, WEIGHTS[severity])))
+#: A unit is 32 times the place of its outcome and the number of its rule, so the least of a group's rules decides.
+UNIT = 32  # 1 << 5
+
 
-    def unit(group: str, members: list):
-        made = lambda r, w, o: F.struct(F.lit(group).alias("dedup_group"), F.lit(r).alias("rule_id"), F.lit(o).alias("outcome"), F.lit(w).alias("weight"))
-        out = None
-        for o in OUTCOMES:
-            for r, w in members:
-                test = F.col(name[r]) == o
-                out = F.when(test, made(r, w, o)) if out is None else out.when(test, made(r, w, o))
-        return out
+def _unit_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list, dict[str, str]]:
+    """capture_id, session_id and for each dedup group its deciding unit: FAIL before PASS before UNKNOWN before NOT_APPLICABLE; the enabled rules; group -> column."""
+    first, enabled = _outcome_columns(facts, policy)
+    groups: dict[str, list[int]] = {}
+    for i, (_, _, g, _) in enumerate(enabled):
+        groups.setdefault(g, []).append(i)
+    columns = {g: f"_u{n}" for n, g in enumerate(groups)}
 
-    units = [f"_u{i}" for i in range(len(groups))]
-    return first.select("capture_id", "session_id", *[unit(g, members).alias(u) for u, (g, members) in zip(units, groups.items(), strict=True)]), units
+    def unit(members: list[int]) -> str:
+        coded = [f"_o{i} * {UNIT} + {i}" for i in members]
+        return coded[0] if len(coded) == 1 else f"least({', '.join(coded)})"
+
+    return first.select("capture_id", "session_id", *[F.expr(unit(groups[g])).alias(u) for g, u in columns.items()]), enabled, columns
 
 
 def session_units(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """units(evaluate(facts)) for facts with one row a session, without a shuffle."""
-    rows, names = _unit_columns(facts, policy or Policy())
-    return rows.select("capture_id", "session_id", F.explode(F.array(*names)).alias("u")).select("capture_id", "session_id", "u.*")
+    policy = policy or Policy()
+    rows, enabled, columns = _unit_columns(facts, policy)
+    rows = rows.select("capture_id", "session_id", F.expr(f"explode(array({', '.join(columns.values())}))").alias("_u"))
+    number = f"_u % {UNIT}"
+    fixed = [F.expr(_looked_up([r[k] for r in enabled], number)).alias(n) for n, k in (("dedup_group", 2), ("rule_id", 0))]
+    return rows.select("capture_id", "session_id", *fixed, F.expr(_looked_up(OUTCOMES, "shiftright(_u, 5)")).alias("outcome"), F.expr(_looked_up(_weights(enabled, policy), number)).alias("weight"))
 
 
 def posture(facts: DataFrame, key: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
     """score(session_units(facts), key): every session's weights are sums over its own row. Without a key a row for each session, with its ids, and no shuffle."""
     policy = policy or Policy()
-    rows, names = _unit_columns(facts, policy)
+    rows, enabled, columns = _unit_columns(facts, policy)
+    weights = [max(0.0, w) for w in _weights(enabled, policy)]
 
-    def total(*wanted):
-        each = [F.when(F.col(u)["outcome"].isin(*wanted) & (F.col(u)["weight"] > 0), F.col(u)["weight"]).otherwise(0.0) for u in names]
-        return sum(each[1:], each[0])
+    def total(below: int) -> str:
+        return " + ".join(f"CASE WHEN {u} < {below * UNIT} THEN {_looked_up(weights, f'{u} % {UNIT}')} ELSE 0D END" for u in columns.values())
 
-    weights = {"weighted_evaluated": total("FAIL", "PASS"), "weighted_deductions": total("FAIL"), "weighted_applicable": total("FAIL", "PASS", "UNKNOWN")}
-    rows = rows.select("capture_id", "session_id", *[c.alias(n) for n, c in weights.items()])
+    totals = {"weighted_evaluated": total(UNKNOWN), "weighted_deductions": total(PASS), "weighted_applicable": total(NOT_APPLICABLE)}
+    rows = rows.select("capture_id", "session_id", *[F.expr(c).alias(n) for n, c in totals.items()])
     if key is not None:
-        rows = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in weights])
+        rows = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in totals])
     return _graded(rows, policy.minimum_coverage)
 
 
@@ -263,10 +286,13 @@ def band(score: Column) -> Column:
 
 
 def findings(results: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """The counting failures with their ids."""
+    """The counting failures with their ids, over the offsets and packets they rest on where results have them."""
     p = policy or Policy()
-    made = finding_id(F.lit(p.policy_id), F.lit(p.fingerprint()), F.col("rule_id"), F.col("capture_id"), F.col("session_id"), F.lit(""), F.lit(""))
-    return results.where("counts").withColumn("finding_id", made).select("finding_id", "capture_id", "session_id", "rule_id", "severity", "dedup_group", "confidence", "weight")
+    held = {"offsets", "packets"} <= set(results.columns)
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",") if held else F.lit("") for c in ("offsets", "packets")]
+    made = finding_id(F.lit(p.policy_id), F.lit(p.fingerprint()), F.col("rule_id"), F.col("capture_id"), F.col("session_id"), *joined)
+    shown = ["finding_id", "capture_id", "session_id", "rule_id", "severity", "dedup_group", "confidence", "weight", *(["offsets", "packets"] if held else [])]
+    return results.where("counts").withColumn("finding_id", made).select(*shown)
 
 
 #: Leading characters of a finding id, with its prefix, by which the ranks of one group are dealt: 256 parts of each.

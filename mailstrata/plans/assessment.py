@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules
-from .registry import query, us
+from .registry import query, spread, us
 
 #: Input for the rules: a wide row of session facts for each order, in words that both engines read alike.
 FACTS = {
@@ -57,13 +57,14 @@ FACTS_SQL = "facts AS (SELECT " + ", ".join(f"{e.format(text='varchar')} AS {n}"
 
 
 def facts(t) -> DataFrame:
-    return t.orders.selectExpr(*[f"{e.format(text='string')} AS {n}" for n, e in FACTS.items()])
+    return spread(t.orders).selectExpr(*[f"{e.format(text='string')} AS {n}" for n, e in FACTS.items()])
 
 
 _CIPHER = "CASE WHEN NOT has_tls THEN 'NOT_APPLICABLE' WHEN suite IS NULL OR NOT suite_known THEN 'UNKNOWN' WHEN {} THEN 'FAIL' ELSE 'PASS' END"
 _CERT = "CASE WHEN NOT has_tls OR cert_visibility <> 'OBSERVED' THEN 'NOT_APPLICABLE' WHEN {} IS NULL THEN 'UNKNOWN' WHEN {} THEN 'FAIL' ELSE 'PASS' END"
 _CHECK = "CASE WHEN NOT has_tls OR cert_visibility <> 'OBSERVED' THEN 'NOT_APPLICABLE' WHEN {0} = 'FAILED' THEN 'FAIL' WHEN {0} = 'PASSED' THEN 'PASS' ELSE 'UNKNOWN' END"
 _MAIL = "CASE WHEN implicit_tls OR detection NOT IN ('CONFIRMED', 'PROBABLE') {} END"
+_ANONYMOUS = "authentication = 'ANONYMOUS'"
 _OK = "upgrade_state IN ('UPGRADE_ACCEPTED', 'TLS_BYTES_OBSERVED')"
 CASES = {
     "CERT-001": _CERT.format("not_after_us", "capture_us > not_after_us"),
@@ -81,7 +82,7 @@ CASES = {
     "MAIL-006": _MAIL.format("THEN 'NOT_APPLICABLE' WHEN NOT capabilities_seen THEN 'UNKNOWN' WHEN upgrade_advertised THEN 'PASS' ELSE 'FAIL'"),
     "MAIL-007": "CASE WHEN NOT implicit_tls THEN 'NOT_APPLICABLE' WHEN selected_version IS NOT NULL THEN 'PASS' ELSE 'UNKNOWN' END",
     "TLS-CIPHER-001": _CIPHER.format("encryption = 'NULL'"),
-    "TLS-CIPHER-002": f"CASE WHEN tls13_suite THEN 'NOT_APPLICABLE' ELSE {_CIPHER.format(chr(97) + 'uthentication = ' + chr(39) + 'ANONYMOUS' + chr(39))} END",
+    "TLS-CIPHER-002": f"CASE WHEN tls13_suite THEN 'NOT_APPLICABLE' ELSE {_CIPHER.format(_ANONYMOUS)} END",
     "TLS-CIPHER-003": _CIPHER.format("encryption IN ('RC4_128', 'RC4_40', 'DES_CBC', 'DES40_CBC', 'RC2_CBC_40')"),
     "TLS-CIPHER-004": _CIPHER.format("encryption = '3DES_EDE_CBC'"),
     "TLS-CIPHER-005": _CIPHER.format("encryption NOT IN ('AES_128_GCM', 'AES_256_GCM', 'AES_128_CCM', 'AES_256_CCM', 'CHACHA20_POLY1305')"),

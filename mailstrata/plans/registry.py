@@ -37,3 +37,9 @@ class Tables:
 def us(c) -> F.Column:
     """Microseconds since 1970; the entry point pins the session's zone to UTC."""
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt evenly where its scan has fewer splits than the application has cores; a scan of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
