@@ -20,15 +20,30 @@ from .capture import dissect
 
 RUN = "array<struct<direction:string,offset:long,length:long,sha256:string>>"
 GAP = "array<struct<direction:string,offset:long,length:long,reason:string>>"
-EVENT = "array<struct<kind:string,direction:string,offset:long,verb:string,code:string>>"
+EVENT = "array<struct<kind:string,direction:string,offset:long,end:long,verb:string,code:string,packets:array<long>,ambiguous:boolean>>"
+CONFLICT = "array<struct<direction:string,offset:long,length:long,accepted_packet:long,conflicting_packet:long,accepted_sha256:string,conflicting_sha256:string>>"
+WARNING = "array<struct<code:string,severity:string,direction:string,offset:long,length:long,reason:string,packets:array<long>>>"
+ALERT = "array<struct<direction:string,offset:long,encrypted:boolean,level:string,description:string>>"
+PACKETS = "array<long>"
 SESSION = (
     "capture_id string, flow_id string, instance int, client_ip string, client_port int, server_ip string, server_port int, role_basis string, packets int, first_packet long, last_packet long, first_ns long, last_ns long,"
     f"completeness string, termination string, handshake_complete boolean, runs {RUN}, gaps {GAP}, client_bytes long, server_bytes long, conflicts int, retransmissions int, duplicates int, out_of_order int,"
     f"protocol string, detection string, parse_state string, events {EVENT}, capabilities_seen boolean, upgrade_advertised boolean, upgrade_requested boolean, upgrade_state string, auth_count int, auth_before_upgrade int, commands_after_refusal int, evidence_score int, implicit_tls boolean,"
     "has_tls boolean, client_hello boolean, server_hello boolean, hrr boolean, fatal_alert boolean, degraded boolean, hello_done boolean, cipher_changed boolean, selected_version int, lowest_offered int, offer string, suite int, kex string, authentication string, encryption string, suite_known boolean, tls13_suite boolean, tls_group int, share boolean, alpn string, sni string, resumed boolean,"
-    "subject string, issuer string, not_before_us long, not_after_us long, key_algorithm string, key_bits int, signature_hash string, eku_count int, eku_server_auth boolean, leaf_sha256 string, spki_sha256 string, hostname_status string"
+    "subject string, issuer string, not_before_us long, not_after_us long, key_algorithm string, key_bits int, signature_hash string, eku_count int, eku_server_auth boolean, leaf_sha256 string, spki_sha256 string, hostname_status string,"
+    f"conflict_records {CONFLICT}, client_acked_missing long, server_acked_missing long, warnings {WARNING}, events_suppressed int, mail_packets {PACKETS}, mail_offsets {PACKETS}, tls_packets {PACKETS}, certificate_packets {PACKETS},"
+    f"tls_alerts {ALERT}, client_framing string, server_framing string, client_boundary long, client_boundary_reason string, server_boundary long, server_boundary_reason string, ambiguous_records int, compatibility_change boolean, dh_bits int, chain_der array<binary>"
 )
-COLUMNS = [part.split()[0] for part in SESSION.replace(RUN, "x").replace(GAP, "x").replace(EVENT, "x").split(",")]
+NESTED = (RUN, GAP, EVENT, CONFLICT, WARNING, ALERT)
+
+
+def _column_names(schema: str) -> list[str]:
+    for kind in NESTED:
+        schema = schema.replace(kind, "x")
+    return [part.split()[0] for part in schema.split(",")]
+
+
+COLUMNS = _column_names(SESSION)
 
 
 def _merged_lines(runs: dict, session: tcp.Session):
@@ -48,6 +63,23 @@ def _merged_lines(runs: dict, session: tcp.Session):
     return sorted(out, key=lambda x: (x[5], x[0] == "s", x[2]))
 
 
+def _warnings(session: tcp.Session, gaps: dict, d: mail.Dialogue) -> list[dict]:
+    """A record for each hole, each disagreement of segments, bytes that were acknowledged and not captured, and events beyond the limit."""
+    out = []
+    for w, stream in session.streams.items():
+        made = lambda code, severity, offset, length, reason, packets: {"code": code, "severity": severity, "direction": w, "offset": offset, "length": length, "reason": reason, "packets": packets}  # noqa: B023, E731
+        for offset, length, reason in gaps[w]:
+            beside = [*stream.carriers(offset - 1, offset), *stream.carriers(offset + length, offset + length + 1)]
+            out.append(made("SEQUENCE_GAP", "WARNING", offset, length, reason, sorted(set(beside))))
+        for x in stream.conflict_records():
+            out.append(made("OVERLAP_CONFLICT", "ERROR", x["offset"], x["length"], "FIRST_OBSERVED_WINS", sorted({x["accepted_packet"], x["conflicting_packet"]})))
+        if missing := stream.acked_missing():
+            out.append(made("ACKED_DATA_NOT_CAPTURED", "WARNING", stream.high - stream.origin(), missing, None, []))
+    if d.suppressed:
+        out.append({"code": "EVENTS_SUPPRESSED", "severity": "WARNING", "direction": None, "offset": None, "length": d.suppressed, "reason": None, "packets": []})
+    return out
+
+
 def _row(session: tcp.Session) -> dict:
     facts = session.facts()
     runs, gaps, c, s = facts["runs"], facts["gaps"], session.streams["c"], session.streams["s"]
@@ -58,22 +90,29 @@ def _row(session: tcp.Session) -> dict:
         "runs": [{"direction": w, "offset": o, "length": len(d), "sha256": hashlib.sha256(d).hexdigest()} for w in "cs" for o, d in runs[w]], "gaps": [{"direction": w, "offset": o, "length": n, "reason": r} for w in "cs" for o, n, r in gaps[w]],
         "client_bytes": sum(len(d) for _, d in runs["c"]), "server_bytes": sum(len(d) for _, d in runs["s"]), "conflicts": total("CONFLICTING_OVERLAP"), "retransmissions": total("RETRANSMISSION"), "duplicates": total("DUPLICATE"), "out_of_order": total("out_of_order"),
     }
+    carriers, ambiguous = (lambda w, a, z: session.streams[w].carriers(a, z)), (lambda w, a, z: session.streams[w].ambiguous(a, z))
     head = runs["c"][0][1][:3] if runs["c"] and runs["c"][0][0] == 0 else b""
     implicit = len(head) == 3 and head[0] == 22 and head[1] == 3 and head[2] <= 4
     d = mail.Dialogue(mail.PORTS.get(session.server[1], "UNKNOWN")) if implicit else mail.parse(_merged_lines(runs, session), session.server[1])
     t = None
     if implicit:
-        t = tls.analyse(runs["c"], runs["s"], 0, 0)
+        t = tls.analyse(runs["c"], runs["s"], 0, 0, carriers, ambiguous)
     elif d.boundary is not None:
         request = next((e["offset"] for e in reversed(d.events) if e["kind"] == "COMMAND" and e["verb"] in mail.UPGRADES), None)
         run = next((x for x in runs["c"] if request is not None and x[0] <= request < x[0] + len(x[1])), None)
         client_at = run[0] + run[1].find(b"\n", request - run[0]) + 1 if run else 0
-        t = tls.analyse(runs["c"], runs["s"], client_at, d.boundary)
+        t = tls.analyse(runs["c"], runs["s"], client_at, d.boundary, carriers, ambiguous)
         if t:
             d.state = "TLS_BYTES_OBSERVED"
+    events = [e | {"packets": carriers(e["direction"], e["offset"], e["end"]), "ambiguous": ambiguous(e["direction"], e["offset"], e["end"])} for e in d.events]
+    auths = [(a["offset"], a["end"]) for a in d.auths] or [(e["offset"], e["end"]) for e in d.events if e["kind"] == "COMMAND" and e["verb"] in mail.UPGRADES]
+    row |= {
+        "conflict_records": [{"direction": w} | x for w in "cs" for x in session.streams[w].conflict_records()], "client_acked_missing": c.acked_missing(), "server_acked_missing": s.acked_missing(), "warnings": _warnings(session, gaps, d),
+        "events_suppressed": d.suppressed, "mail_offsets": sorted({a for a, _ in auths}), "mail_packets": sorted({p for a, z in auths for p in carriers("c", a, z)}), "tls_packets": [], "certificate_packets": [], "chain_der": [],
+    }
     complete = "HANDED_OFF" if t else "COMPLETE" if d.quit or session.closed() and not any(gaps.values()) else "TRUNCATED"
     row |= {
-        "protocol": d.protocol, "detection": "IMPLICIT_TLS" if implicit else d.detection(), "parse_state": complete, "events": d.events, "capabilities_seen": d.seen_capabilities, "upgrade_advertised": bool(d.capabilities & mail.UPGRADES), "upgrade_requested": d.requested, "upgrade_state": d.state,
+        "protocol": d.protocol, "detection": "IMPLICIT_TLS" if implicit else d.detection(), "parse_state": complete, "events": events, "capabilities_seen": d.seen_capabilities, "upgrade_advertised": bool(d.capabilities & mail.UPGRADES), "upgrade_requested": d.requested, "upgrade_state": d.state,
         "auth_count": len(d.auths), "auth_before_upgrade": sum(a["before_upgrade"] for a in d.auths) if d.state in ("UPGRADE_ACCEPTED", "TLS_BYTES_OBSERVED") else 0, "commands_after_refusal": d.after_refusal, "evidence_score": d.score(), "implicit_tls": implicit, "has_tls": t is not None,
     }
     if t:
@@ -83,7 +122,12 @@ def _row(session: tcp.Session) -> dict:
             "client_hello": t["client_hello"], "server_hello": t["server_hello"], "hrr": t["hrr"], "fatal_alert": t["fatal_alert"], "degraded": t["degraded"], "hello_done": t["done"], "cipher_changed": t["change"], "selected_version": t.get("version"), "lowest_offered": min(known, default=None),
             "offer": ",".join(f"{x:04x}" for x in sorted(t["offered_versions"]) + sorted(t["offered"])) or None, "suite": t.get("suite"), "kex": suite and suite[0], "authentication": suite and suite[1], "encryption": suite and suite[2], "suite_known": suite is not None, "tls13_suite": bool(suite and suite[0] == "TLS13"),
             "tls_group": t.get("group"), "share": t.get("share", False), "alpn": t.get("alpn"), "sni": t.get("sni"), "resumed": t.get("resumed"),
+            "tls_packets": sorted({p for w, a, z in t["hello_ranges"] for p in carriers(w, a, z)}), "certificate_packets": sorted({p for w, a, z in t["certificate_ranges"] for p in carriers(w, a, z)}),
+            "tls_alerts": t["alerts"], "ambiguous_records": t["ambiguous_records"], "compatibility_change": t["compatibility_change"], "dh_bits": t.get("dh_bits"), "chain_der": t["certificates"],
         }
+        for who, side in (("c", "client"), ("s", "server")):
+            offset, reason = t["boundaries"].get(who, (None, "NOT_ENCRYPTED"))
+            row |= {f"{side}_framing": t["grades"].get(who), f"{side}_boundary": offset, f"{side}_boundary_reason": reason}
         if t["certificates"]:
             try:
                 leaf = x509.parse(t["certificates"][0])

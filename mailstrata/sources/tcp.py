@@ -6,12 +6,15 @@ A flow's packets come sorted by number. Nothing here crosses a hole: runs are se
 from __future__ import annotations
 
 import bisect
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 SERVICES = {25: "SMTP", 465: "SMTPS", 587: "SMTP", 143: "IMAP", 993: "IMAPS", 110: "POP3", 995: "POP3S"}
 HALF = 1 << 31
+#: Records of disagreeing segments that a direction keeps; their number is counted without a limit.
+CONFLICTS = 1000
 
 
 def _join(spans: list[tuple[int, int]], a: int, b: int) -> None:
@@ -34,7 +37,10 @@ class Stream:
     counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("segments", "ACCEPTED", "PARTIAL_OVERLAP", "CONFLICTING_OVERLAP", "DUPLICATE", "RETRANSMISSION", "DROPPED_LIMIT", "out_of_order"), 0))
     uncaptured: list[tuple[int, int]] = field(default_factory=list)
     refused: list[tuple[int, int]] = field(default_factory=list)
+    disagreed: list[tuple[int, int]] = field(default_factory=list)
+    conflicts: list[dict] = field(default_factory=list)
     acked: int | None = None
+    fin: bool = False
 
     def extend(self, seq: int) -> int:
         """A 32-bit number as the nearest one to the highest so far."""
@@ -66,7 +72,13 @@ class Stream:
             a, b = max(start, s), min(end, s + len(held))
             if a >= b:
                 continue
-            conflict |= held[a - s : b - s] != payload[a - start : b - start]
+            kept, came = held[a - s : b - s], payload[a - start : b - start]
+            if kept != came:
+                conflict = True
+                _join(self.disagreed, a, b)
+                if len(self.conflicts) < CONFLICTS:
+                    digests = {"accepted_sha256": hashlib.sha256(kept).hexdigest(), "conflicting_sha256": hashlib.sha256(came).hexdigest()}
+                    self.conflicts.append({"offset": a, "length": b - a, "accepted_packet": self.parts[s][1], "conflicting_packet": packet} | digests)
             covered += b - a
             if at < a:
                 new.append((at, a))
@@ -96,6 +108,36 @@ class Stream:
         self.counts[kind] += 1
         self.counts["out_of_order"] += bool(behind and stored)
 
+    def origin(self) -> int:
+        """The number at which offsets begin."""
+        return min([self.base or 0, *self.starts[:1]])
+
+    def carriers(self, start: int, end: int) -> list[int]:
+        """Sorted numbers of the packets that brought the bytes from offset start to end; an empty range stands for its first byte."""
+        start, end = start + self.origin(), max(end, start + 1) + self.origin()
+        found = set()
+        for s in self.starts[max(0, bisect.bisect_right(self.starts, start) - 1) :]:
+            if s >= end:
+                break
+            data, packet = self.parts[s]
+            if s + len(data) > start:
+                found.add(packet)
+        return sorted(found)
+
+    def ambiguous(self, start: int, end: int) -> bool:
+        """Whether segments disagreed on a byte from offset start to end."""
+        origin = self.origin()
+        return any(a < end + origin and start + origin < b for a, b in self.disagreed)
+
+    def conflict_records(self) -> list[dict]:
+        return [x | {"offset": x["offset"] - self.origin()} for x in self.conflicts]
+
+    def acked_missing(self) -> int:
+        """Bytes that the peer acknowledged beyond the last one captured."""
+        if self.acked is None or not (self.starts or self.uncaptured):
+            return 0
+        return max(0, self.acked - self.fin - self.high)
+
     def runs(self) -> list[tuple[int, bytes]]:
         """(offset, bytes) of every stretch without a hole."""
         out: list[tuple[int, list[bytes], int]] = []
@@ -105,12 +147,12 @@ class Stream:
                 out[-1] = (out[-1][0], [*out[-1][1], data], s + len(data))
             else:
                 out.append((s, [data], s + len(data)))
-        origin = min([self.base or 0, *self.starts[:1]])
+        origin = self.origin()
         return [(s - origin, b"".join(p)) for s, p, _ in out]
 
     def gaps(self) -> list[tuple[int, int, str]]:
         """(offset, length, reason): NOT_CAPTURED before LIMIT_EXCEEDED before MISSING_SEGMENT."""
-        origin = min([self.base or 0, *self.starts[:1]])
+        origin = self.origin()
         at, holes = origin, []
         for o, data in self.runs():
             if o + origin > at:
@@ -203,6 +245,7 @@ def walked(packets, budget: int = 16 << 20) -> Iterator[Session]:
             stream.add(p["seq"] + bool(flags & SYN), p["payload"], p["payload_len"], p["packet_number"], grant)
         if flags & FIN:
             s.fins.add(who)
+            stream.fin = True
         s.rst |= bool(flags & RST)
     if s is not None:
         yield s

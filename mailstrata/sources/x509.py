@@ -84,9 +84,9 @@ def parse(der: bytes) -> dict:
                     parts = list(items(ext))
                     what = oid(parts[0][1])
                     if what == EKU:
-                        usages = [oid(v) for _, v, _ in items(next(items(parts[-1][1]))[1])][:32]
+                        usages = [oid(v) for _, v, _ in items(next(items(parts[-1][1]))[1])]
                     elif what == SAN:
-                        names = [v.decode("ascii", "replace") for t, v, _ in items(next(items(parts[-1][1]))[1]) if t == 0x82][:64]
+                        names = [v.decode("ascii", "replace") for t, v, _ in items(next(items(parts[-1][1]))[1]) if t == 0x82]
         return {"subject": _name(subject[1]), "issuer": _name(issuer[1]), "not_before_us": begin, "not_after_us": end, "key_algorithm": kind, "key_bits": bits, "signature_hash": SIGNATURES.get(oid(next(items(algorithm))[1])), "names": names, "eku_count": len(usages), "eku_server_auth": SERVER_AUTH in usages, "sha256": hashlib.sha256(der).hexdigest(), "spki_sha256": hashlib.sha256(spki[2]).hexdigest()}
     except (StopIteration, IndexError, UnicodeDecodeError, ValueError) as e:
         raise ValueError(f"not a certificate: {e}") from e
