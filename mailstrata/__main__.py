@@ -1,4 +1,4 @@
-"""python -m mailstrata analyze GLOB OUT [--no-segments] [--no-events] [--set name=value]...
+"""python -m mailstrata analyze GLOB OUT [--no-segments] [--no-events] [--trust-store PEM] [--set name=value]...
 python -m mailstrata fixtures PATH [SESSIONS]
 python -m mailstrata status"""
 
@@ -18,6 +18,7 @@ def main(args: list[str]) -> int:
     a.add_argument("out")
     a.add_argument("--no-segments", action="store_true")
     a.add_argument("--no-events", action="store_true")
+    a.add_argument("--trust-store")
     a.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     f = verbs.add_parser("fixtures")
     f.add_argument("path")
@@ -40,9 +41,10 @@ def main(args: list[str]) -> int:
 def analyze(o) -> int:
     """Writes sessions, findings, scores and a report page under OUT."""
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .config import Config
-    from .operators import rules
+    from .operators import chains, rules
     from .shipping import shipped
     from .sinks import render_html, write_json
     from .sources import sessions
@@ -51,7 +53,12 @@ def analyze(o) -> int:
     config = Config.from_env(dict(os.environ)).with_values(dict(x.split("=", 1) for x in o.set))
     spark = shipped(SparkSession.builder.appName("mailstrata").getOrCreate())
     policy = rules.Policy(minimum_version=config.minimum_version, minimum_coverage=config.minimum_coverage, disabled=config.disabled)
-    facts = sessions.facts(sessions.assemble(dissect(read_captures(spark, o.glob, config.max_packets)), config.session_budget))
+    anchors, store = chains.trust_store(spark, o.trust_store)
+    if store["error"]:
+        print(store["error"], file=sys.stderr)
+    walked = sessions.assemble(dissect(read_captures(spark, o.glob, config.max_packets)), config.session_budget)
+    walked.write.mode("overwrite").parquet(f"{o.out}/walked")  # flows are walked once
+    facts = sessions.facts(chains.with_chain_status(spark.read.parquet(f"{o.out}/walked"), anchors, store["configured"]))
     facts.write.mode("overwrite").parquet(f"{o.out}/sessions")  # everything below reads this table
     facts = spark.read.parquet(f"{o.out}/sessions")
     results = rules.evaluate(facts, policy)
@@ -59,6 +66,9 @@ def analyze(o) -> int:
     scores = rules.posture(facts, ["capture_id"], policy)
     write_json(facts, f"{o.out}/sessions_json", not o.no_segments, not o.no_events)
     write_json(found, f"{o.out}/findings_json")
+    chains.inventory(facts).write.mode("overwrite").parquet(f"{o.out}/certificates")
+    warnings = facts.select("capture_id", "session_id", F.explode("warnings").alias("w")).select("capture_id", "session_id", "w.*")
+    warnings.write.mode("overwrite").parquet(f"{o.out}/warnings")
     write_json(scores, f"{o.out}/scores_json")
     page = render_html("Mail transport report", {"Scores": scores.orderBy("capture_id"), "Findings": found.orderBy("rank"), "Sessions": facts.select("session_id", "server_ip", "server_port", "protocol", "upgrade_state", "completeness").orderBy("session_id")})
     spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(f"{o.out}/report")

@@ -158,7 +158,7 @@ def _outcome_columns(facts: DataFrame, policy: Policy) -> tuple[DataFrame, list]
 
 
 #: Columns of facts, where they have them, that hold what a family of rules rests on: offsets and numbers of packets.
-EVIDENCE = ["tls_packets", "mail_offsets", "mail_packets"]
+EVIDENCE = ["tls_packets", "certificate_packets", "mail_offsets", "mail_packets"]
 
 
 def _looked_up(values: list, number: str) -> str:
@@ -174,7 +174,7 @@ def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """A row for every enabled rule and row of facts: capture_id, session_id, rule_id, severity, dedup_group, weight, outcome, confidence, counts.
 
     counts is false for the failures of a group that a more severe one, or one of equal severity with a smaller rule id, stands for. Where facts have
-    the columns of EVIDENCE a result also has offsets and packets: of mail rules those of the dialogue, of the others the handshake's packets.
+    the columns of EVIDENCE a result also has offsets and packets: of mail rules those of the dialogue, of certificate rules the packets that brought the certificates, of the others the hellos' packets.
     """
     policy = policy or Policy()
     first, enabled = _outcome_columns(facts, policy)
@@ -188,11 +188,12 @@ def evaluate(facts: DataFrame, policy: Policy | None = None) -> DataFrame:
     # the array is written inside explode: of a column, Spark would infer a filter that holds all of it once more
     rows = first.select("capture_id", "session_id", "_tls", "_mail", *held, F.expr(f"explode(array({each}))").alias("r"))
     mail, lowest = [i for i, r in enumerate(enabled) if r[0].startswith("MAIL")], [i for i, r in enumerate(enabled) if r[0] == "MAIL-004"]
+    of_certificate = f"r.n IN ({', '.join(map(str, [i for i, r in enumerate(enabled) if r[0].startswith('CERT')] or [-1]))})"
     of_mail = f"r.n IN ({', '.join(map(str, mail or [-1]))})"
     sure = f"CASE WHEN r.n IN ({', '.join(map(str, lowest or [-1]))}) THEN 'LOW' WHEN {of_mail} THEN _mail ELSE _tls END"
     names = {"rule_id": 0, "severity": 1, "dedup_group": 2}
     fixed = [F.expr(_looked_up([r[k] for r in enabled], "r.n")).alias(n) for n, k in names.items()]
-    evidence = [F.expr(f"CASE WHEN {of_mail} THEN mail_offsets ELSE array() END").alias("offsets"), F.expr(f"CASE WHEN {of_mail} THEN mail_packets ELSE tls_packets END").alias("packets")] if len(held) == len(EVIDENCE) else []
+    evidence = [F.expr(f"CASE WHEN {of_mail} THEN mail_offsets ELSE array() END").alias("offsets"), F.expr(f"CASE WHEN {of_mail} THEN mail_packets WHEN {of_certificate} THEN certificate_packets ELSE tls_packets END").alias("packets")] if len(held) == len(EVIDENCE) else []
     return rows.select(
         "capture_id", "session_id", *fixed, F.expr(_looked_up(_weights(enabled, policy), "r.n")).alias("weight"), F.expr(_looked_up(OUTCOMES, "r.o")).alias("outcome"),
         F.expr(sure).alias("confidence"), "r.counts", *evidence,

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 #: Columns that a switch leaves out of JSON: byte runs and dialogue events.
 SEGMENTS, EVENTS = ("runs", "gaps"), ("events",)
+#: Columns that never leave in a report: certificates as they were sent.
+RAW = ("chain_der",)
 
 
 def write_json(df: DataFrame, path: str, segments: bool = True, events: bool = True) -> None:
     """A JSON line for each row, nulls left out, written by the executors."""
-    left_out = ([] if segments else list(SEGMENTS)) + ([] if events else list(EVENTS))
+    left_out = list(RAW) + ([] if segments else list(SEGMENTS)) + ([] if events else list(EVENTS))
     df.drop(*left_out).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 

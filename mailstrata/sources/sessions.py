@@ -176,13 +176,16 @@ def facts(sessions: DataFrame) -> DataFrame:
     from .tls import HYBRID
 
     return sessions.withColumns({
-        "handshake_state": state, "fs_status": secrecy, "cert_visibility": cert, "capture_us": F.expr("first_ns div 1000"), "analysis_us": F.lit(None).cast("long"), "chain_status": F.lit("NOT_AVAILABLE"),
+        "handshake_state": state, "fs_status": secrecy, "cert_visibility": cert, "capture_us": F.expr("first_ns div 1000"), "analysis_us": F.lit(None).cast("long"), "chain_status": F.col("chain_status") if "chain_status" in sessions.columns else F.lit("NOT_AVAILABLE"),
         "group_family": F.when(F.col("tls_group").isin(sorted(HYBRID)), "HYBRID").when(F.col("tls_group").isNotNull(), "CLASSIC"),
     })
 
 
-def analyse_captures(spark, glob: str, max_packets: int = 1 << 40) -> DataFrame:
-    """Session facts of all captures that match."""
+def analyse_captures(spark, glob: str, max_packets: int = 1 << 40, trust_store: str | None = None) -> DataFrame:
+    """Session facts of all captures that match; trust_store: a PEM file of anchors that chains are verified against."""
+    from ..operators import chains
     from .capture import read_captures
 
-    return facts(assemble(dissect(read_captures(spark, glob, max_packets))))
+    anchors, store = chains.trust_store(spark, trust_store)
+    sessions = assemble(dissect(read_captures(spark, glob, max_packets)))
+    return facts(chains.with_chain_status(sessions, anchors, store["configured"]))

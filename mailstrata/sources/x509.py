@@ -10,7 +10,7 @@ KEYS = {"1.2.840.113549.1.1.1": "RSA", "1.2.840.10045.2.1": "EC", "1.2.840.10040
 CURVES = {"1.2.840.10045.3.1.7": 256, "1.3.132.0.34": 384, "1.3.132.0.35": 521, "1.3.132.0.33": 224, "1.2.840.10045.3.1.1": 192}
 SIGNATURES = {"1.2.840.113549.1.1.4": "md5", "1.2.840.113549.1.1.5": "sha1", "1.2.840.113549.1.1.11": "sha256", "1.2.840.113549.1.1.12": "sha384", "1.2.840.113549.1.1.13": "sha512", "1.2.840.10045.4.1": "sha1", "1.2.840.10045.4.3.2": "sha256", "1.2.840.10045.4.3.3": "sha384", "1.2.840.10045.4.3.4": "sha512"}
 NAMES = {"2.5.4.3": "CN", "2.5.4.6": "C", "2.5.4.7": "L", "2.5.4.8": "ST", "2.5.4.10": "O", "2.5.4.11": "OU"}
-SERVER_AUTH, EKU, SAN = "1.3.6.1.5.5.7.3.1", "2.5.29.37", "2.5.29.17"
+SERVER_AUTH, EKU, SAN, BASIC, USAGE = "1.3.6.1.5.5.7.3.1", "2.5.29.37", "2.5.29.17", "2.5.29.19", "2.5.29.15"
 
 
 def items(data: bytes):
@@ -71,13 +71,14 @@ def parse(der: bytes) -> dict:
         (_, key_algorithm, _), (_, key_bits, _) = list(items(spki[1]))[:2]
         ids = list(items(key_algorithm))
         kind = KEYS.get(oid(ids[0][1]))
-        bits = None
+        key_size = None
         if kind == "RSA":
             modulus = next(items(next(items(key_bits[1:]))[1]))[1]
-            bits = int.from_bytes(modulus, "big").bit_length()
+            key_size = int.from_bytes(modulus, "big").bit_length()
         elif kind == "EC" and len(ids) > 1:
-            bits = CURVES.get(oid(ids[1][1]))
+            key_size = CURVES.get(oid(ids[1][1]))
         usages, names = [], []
+        is_ca, path_len, may_sign = False, None, True
         for tag, content, _ in rest:
             if tag == 0xA3:
                 for _, ext, _ in items(next(items(content))[1]):
@@ -85,9 +86,16 @@ def parse(der: bytes) -> dict:
                     what = oid(parts[0][1])
                     if what == EKU:
                         usages = [oid(v) for _, v, _ in items(next(items(parts[-1][1]))[1])]
+                    elif what == BASIC:
+                        held = list(items(next(items(parts[-1][1]))[1]))
+                        is_ca = any(t == 1 and v != b"\0" for t, v, _ in held)
+                        path_len = next((int.from_bytes(v, "big") for t, v, _ in held if t == 2), None)
+                    elif what == USAGE:
+                        bits = next(items(parts[-1][1]))[1]
+                        may_sign = len(bits) > 1 and bool(bits[1] & 4)
                     elif what == SAN:
                         names = [v.decode("ascii", "replace") for t, v, _ in items(next(items(parts[-1][1]))[1]) if t == 0x82]
-        return {"subject": _name(subject[1]), "issuer": _name(issuer[1]), "not_before_us": begin, "not_after_us": end, "key_algorithm": kind, "key_bits": bits, "signature_hash": SIGNATURES.get(oid(next(items(algorithm))[1])), "names": names, "eku_count": len(usages), "eku_server_auth": SERVER_AUTH in usages, "sha256": hashlib.sha256(der).hexdigest(), "spki_sha256": hashlib.sha256(spki[2]).hexdigest()}
+        return {"subject": _name(subject[1]), "issuer": _name(issuer[1]), "not_before_us": begin, "not_after_us": end, "key_algorithm": kind, "key_bits": key_size, "signature_hash": SIGNATURES.get(oid(next(items(algorithm))[1])), "names": names, "is_ca": is_ca, "path_len": path_len, "may_sign": may_sign, "eku_count": len(usages), "eku_server_auth": SERVER_AUTH in usages, "sha256": hashlib.sha256(der).hexdigest(), "spki_sha256": hashlib.sha256(spki[2]).hexdigest()}
     except (StopIteration, IndexError, UnicodeDecodeError, ValueError) as e:
         raise ValueError(f"not a certificate: {e}") from e
 
@@ -98,3 +106,8 @@ def matches(names: list[str], host: str | None) -> bool | None:
         return None
     host = host.lower()
     return any(n.lower() == host or n.startswith("*.") and "." in host and n[2:].lower() == host.split(".", 1)[1] for n in names)
+
+
+def anchor_digest(fingerprints) -> str:
+    """One digest for a set of certificates, by their SHA-256 in order."""
+    return hashlib.sha256("".join(sorted(fingerprints)).encode()).hexdigest()[:32]
