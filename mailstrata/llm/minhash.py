@@ -4,8 +4,8 @@ Every set of shingles is hashed once: the leading bits of a hash name one of BIN
 An empty bin borrows from the first filled one of a sequence of bins that is its own and the same for all sets, so borrowed bins
 are independent of one another (optimal densification). ROWS bins make a band, a bucket is what agrees in a band.
 
-A bucket emits a star, edges from its least member to all others, never all pairs. Edges are confirmed on the full sets, and components tell which buckets
-still hold unlinked members; these emit a few more stars with other hubs. What is then outside the largest component of a bucket is little: each such member
+A bucket emits a few stars, edges from a hub to all other members, never all pairs. Edges are confirmed on the full sets, and components tell which buckets
+still hold unlinked members. What is then outside the largest component of a bucket is little: each such member
 becomes the hub of one more star, over the members that it isn't connected with, so no link between members of a bucket is lost. Of the buckets that a
 pair shares only the first one emits it then. Shingles that no other candidate holds count against every partner: an edge that they put below the threshold is left out.
 """
@@ -28,8 +28,8 @@ from .shingles import fingerprint, mix, shingle_sets
 BINS, ROWS = 256, 8
 #: Words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 85
-#: Stars of an unsettled bucket in each round before its last ones.
-STARS = (1, 8)
+#: Stars of a bucket in each round before the last one; their hubs are the least members of as many parts.
+STARS = (4,)
 #: Bins of its own sequence that an empty bin tries before it takes the next filled one.
 TRIES = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -155,10 +155,11 @@ def _last_pairs(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.join(hubs, (F.col("band") == F.col("_band")) & fits & first).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b"))
 
 
-def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that connect all linked members of each bucket of members (band, at, cid, n, shared; saved); classes: cid, bands. Saved."""
-    links, tested, label = None, None, None
+def star_components(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component of the classes that links connect with another one, over all linked members of each bucket of members (band, at, cid, n, shared; saved); classes: cid, bands. Saved."""
+    tested, found = None, None
     for slots in (*STARS, None):
+        label = found.select(F.col("node").alias("_node"), F.col("component").alias("_comp")) if found is not None else None
         held = _open_members(members, label, percent)
         if held.isEmpty():
             dropped(held)
@@ -169,12 +170,14 @@ def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         checked = saved(confirmed(pairs, sets, percent), "minhash-checked")
         dropped(held)
         tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.where("linked").select("a", "b")
-        before, label = label, components(links).select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
-        label = saved(label, "minhash-labels")
+        links = checked.where("linked").select("a", "b")
+        if found is not None:
+            # what was connected before is one star for each component
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before, found = found, components(links)
         dropped(before)
-    dropped(label)
-    return links if links is not None else sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    none = sets.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
+    return found if found is not None else none
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -195,7 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     sets = saved(sets_of(docs, wanted, k, text).dropDuplicates(["cid"]), "minhash-sets")
     candidates = saved(with_shared(members, sets), "minhash-candidates")
     dropped(members)
-    found = components(star_links(candidates, classes, sets, percent))
+    found = star_components(candidates, classes, sets, percent)
     dropped(wanted, sets, candidates)
     out = named_rows(rows, classes, found)
     kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
