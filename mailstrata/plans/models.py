@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning
-from .registry import query
+from ..operators import classifier, forest, learning
+from .registry import query, spread
 
 KINDS = ["click", "view", "purchase"]
 
@@ -74,3 +74,24 @@ def posture_rubric(t):
     enc = F.when(s % 9 == 0, "NULL").when(s % 9 == 1, "RC4_128").when(s % 9 == 2, "3DES_EDE_CBC").otherwise("AES_128_GCM")
     kex = F.when(s % 7 == 0, "ANONYMOUS").when(s % 7 == 1, "RSA").otherwise("ECDHE")
     return t.part.select("p_partkey", learning.rubric(768 + s % 5, enc, kex, 1024 * (1 + s % 4)).alias("posture"))
+
+
+ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query()
+def isolation_scores(t):
+    """Every line item's isolation score; the trees come from a seeded sample, so tests hold scores against plain Python on the same trees."""
+    items = spread(t.lineitem.select("l_orderkey", "l_linenumber", *ITEM))
+    grown = forest.fit(items, ["l_orderkey", "l_linenumber"], ITEM, seed=20, trees=100)
+    return items.select("l_orderkey", "l_linenumber", F.round(forest.score(grown), 9).alias("score"))
+
+
+@query()
+def classifier_choice(t):
+    """Candidates for the posture of a customer's orders, with their macro-F1 on groups that none was fitted on."""
+    words = {"version": "768 + o_orderkey % 5", "bits": "1024 * (1 + o_custkey % 4)", "weak": "cast(o_orderpriority = '1-URGENT' as int)", "total": "o_totalprice"}
+    label = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'CRITICAL' WHEN 768 + o_orderkey % 5 < 771 OR o_custkey % 4 = 0 THEN 'HIGH' WHEN o_totalprice < 50000 THEN 'MODERATE' ELSE 'LOW' END"
+    rows = learning.split(spread(t.orders).selectExpr("o_custkey", *[f"{e} AS {n}" for n, e in words.items()], f"{label} AS label"), "o_custkey", "posture")
+    _, figures = classifier.choose(rows, list(words), "label")
+    return t.spark.createDataFrame([(f["model"], f["validation_f1"], f["test_f1"], f["chosen"]) for f in figures], "model string, validation_f1 double, test_f1 double, chosen boolean")
