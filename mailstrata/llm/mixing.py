@@ -94,14 +94,15 @@ def mix(docs: DataFrame, size=None, source: str = "source", doc_id: str = "doc_i
 
 
 def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; same columns."""
+    """The rows of docs, each as often as the mix takes it; the same columns, whatever their names. A null source is one of its own, rows without words are taken with their source, an empty table gives no rows."""
     plan = mix(docs, **kw)
     bounds = plan.groupBy("source").agg(F.max(F.when(F.col("copies") > 0, F.struct("copies", "h"))).alias("top"), F.min("copies").alias("least"))
     bounds = saved(bounds.select(F.col("source").alias("_source"), F.col("least").alias("_least"), F.col("top.copies").alias("_most"), F.col("top.h").alias("_last")), "mix-bounds")
-    h = hash60(F.col("doc_id"), kw.get("seed", "mix"))
-    copies = F.when((F.col("_most") > F.col("_least")) & (h <= F.col("_last")), F.col("_most")).otherwise(F.col("_least")).cast("int")
-    out = docs.join(small(bounds), docs["source"].eqNullSafe(F.col("_source")))
-    return out.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    # a row travels as one column, so its names meet none of the plan's
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_of"), hash60(F.col("doc_id"), kw.get("seed", "mix")).alias("_h"))
+    copies = F.when((F.col("_most") > F.col("_least")) & (F.col("_h") <= F.col("_last")), F.col("_most")).otherwise(F.col("_least")).cast("int")
+    out = rows.join(small(bounds), F.col("_of").eqNullSafe(F.col("_source"))).select("_row", copies.alias("_copies"))
+    return out.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
