@@ -158,3 +158,40 @@ def test_many_hits_in_one_text(spark):
     assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     assert pii.redact(one).first()["text"] == re.sub(r"user\d+@site\d\.org", "[EMAIL]", text)
     assert len(secret_scan.scan(one).first()["spans"]) == 5000
+
+
+NAMES = "doc_id long, text string, source string, n_chars long, _key string, _gone string, _again string, row string, _row string, _of string, _h string, _copies string, _source string, group string, key string"
+STAGED = [(1, "call a@b.org today", "s1"), (2, None, "s1"), (3, "", None), (1, "call a@b.org today", "s1"), (None, "no id at all here", "s2"), (5, "one two three four five six seven eight nine ten", "s2"), (6, "one two three four five six seven eight nine ten", "s2")]
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    return spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, *["x"] * 11) for r in STAGED], NAMES)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("labelled")
+    spark.createDataFrame([(1, 0), (5, 0)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_keep_columns_of_any_name(spark, staged, labelled, name, stage):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table through every stage."""
+    got, none = stage(spark, staged, labelled), stage(spark, staged.limit(0), labelled)
+    assert none.count() == 0 and none.columns == got.columns
+    rows = sorted((str(r["doc_id"]), r["source"]) for r in got.collect())
+    all_rows = sorted((str(d), s) for d, _, s in STAGED)
+    if name == "jaccard_join":
+        assert rows == sorted(set(all_rows) - {("6", "s2")})
+    elif name == "source_mixing":
+        assert set(rows) <= set(all_rows)
+    else:
+        assert rows == all_rows
+    if name == "byte_bpe":
+        assert {(r["doc_id"], r["n_tokens"] > 0) for r in got.collect()} == {(1, True), (2, False), (3, False), (None, True), (5, True), (6, True)}
+    else:
+        assert got.columns == staged.columns and {r["_key"] for r in got.collect()} == {"x"}
+    if name == "pii":
+        assert {r["text"] for r in got.collect() if r["doc_id"] == 1} == {"call [EMAIL] today"}
