@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstrata.llm import bpe, jaccard, mixing, pii, toxicity
-from mailstrata.llm.common import saved, small
+from mailstrata.llm.common import dropped, saved, small
 
 #: Near duplicates: words of a shingle and percent of Jaccard similarity.
 WORDS, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, fitted on labelled rows outside the held-out fold, doesn't reject."""
+    """The documents that the classifier, fitted on labelled rows outside the held-out fold, doesn't reject.
+
+    Null and empty texts score 0 and stay; rows that repeat go or stay together; a row without an id is scored like any other. An empty table gives
+    no rows, and without labels of both kinds all rows stay. Columns keep their names, whatever these are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     return toxicity.classify(scored, labels).where(F.col("predicted") == 0).select("row.*")
@@ -29,33 +33,44 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A repeated row, with the same id and the same text, stays once; different texts under one id are documents of their own.
     Rows without an id are linked like all others and yield to those that have one. Documents without words are linked with nothing and stay.
+    An empty table gives no rows. Columns keep their names, whatever these are.
     """
     rows = saved(jaccard.linked_rows(docs, WORDS, PERCENT).where(F.col("group").isNotNull()), "links")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
     firsts = saved(rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("rows")).select("group", "first.key"), "firsts")
     again = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("key").alias("_again")), "again")
     gone = saved(rows.select(F.col("key").alias("_gone")).distinct().join(firsts, F.col("_gone") == F.col("key"), "left_anti"), "gone")
-    keyed = docs.withColumn("_key", jaccard.row_key("text"))
+    dropped(rows, firsts)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), jaccard.row_key("text").alias("_key"))
     kept = keyed.join(small(gone), F.col("_key") == F.col("_gone"), "left_anti")
     if not again.isEmpty():
         twice = small(again)
         once = kept.join(twice, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
         kept = kept.join(twice, F.col("_key") == F.col("_again"), "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data replaced by its kind."""
+    """Every document, with personal data replaced by its kind.
+
+    A null text stays null and an empty one empty; n_chars is counted anew; rows that repeat stay as often as they stand. An empty table gives no rows.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document as often as the mix of its source takes it.
+
+    A null source is one of its own; rows without an id share one hash, so they are taken together; a text without words has size 0. An empty table gives no rows.
+    """
     return mixing.apply_mix(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its number of tokens and the digests of its ids and of the bytes they decode to."""
+    """Every row with its number of tokens and the digests of its ids and of the bytes they decode to.
+
+    A null or empty text has no tokens. Rows stay as often as they stand; a column named like a new one is replaced. An empty table gives no rows.
+    """
     return bpe.encode(docs, *bpe.production(), digest=True).drop("text")
 
 
@@ -75,5 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)  # only the last stage's table stays
     return docs
