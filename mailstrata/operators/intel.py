@@ -92,22 +92,22 @@ def divergence(rows: DataFrame, entity: str, session: str, config: str) -> DataF
     return x.where("sessions >= 2 AND configs > 1")
 
 
-def drift(rows: DataFrame, entity: str, period: str, order: list, kinds: dict[str, bool], offer: str, session: str) -> DataFrame:
+def drift(rows: DataFrame, entity: str, period: str, order: list, kinds: dict[str, bool], offer: str, session: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Changes from an entity's first session of a period to that of its next one.
 
-    entity, kind, before, after, status, drift_id. A value that the client's offer decides and whose offers differ is INCONCLUSIVE.
+    entity, kind, before, after, status, drift_id, and the columns carried of the later session. A value that the client's offer decides and whose offers differ is INCONCLUSIVE.
     """
     first = Window.partitionBy(entity, period).orderBy(*order)
     snaps = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     w = Window.partitionBy(entity).orderBy(period)
     before = {c: F.lag(c).over(w).alias(f"_{c}") for c in [*kinds, offer, session]}
-    pairs = snaps.select(entity, *kinds, offer, session, *before.values(), F.row_number().over(w).alias("_i")).where("_i > 1")
+    pairs = snaps.select(entity, *kinds, offer, session, *carried, *before.values(), F.row_number().over(w).alias("_i")).where("_i > 1")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").cast("string").alias("before"), F.col(k).cast("string").alias("after"), F.lit(s).alias("sensitive")) for k, s in kinds.items()]))
-    x = pairs.select(entity, offer, session, f"_{offer}", f"_{session}", each.alias("e")).select("*", "e.*")
+    x = pairs.select(entity, offer, session, *carried, f"_{offer}", f"_{session}", each.alias("e")).select("*", "e.*")
     offers_differ = ~F.col(offer).eqNullSafe(F.col(f"_{offer}"))
     status = F.when(F.col("before").isNull() | F.col("after").isNull(), "NOT_COMPARABLE").when(F.col("before") == F.col("after"), "UNCHANGED_WITH_EVIDENCE").when(F.col("sensitive") & offers_differ, "INCONCLUSIVE").otherwise("OBSERVED_CHANGE")
     made = drift_id(F.col(entity).cast("string"), F.col("kind"), F.col("before"), F.col("after"), F.col(f"_{session}").cast("string"), F.col(session).cast("string"))
-    return x.select(entity, "kind", "before", "after", status.alias("status"), made.alias("drift_id"))
+    return x.select(entity, "kind", "before", "after", status.alias("status"), made.alias("drift_id"), *carried)
 
 
 def score_drift(rows: DataFrame, entity: str, period: str, score: str, policy: str) -> DataFrame:
@@ -128,7 +128,7 @@ def with_event_ids(events: DataFrame) -> DataFrame:
 def timeline(events: DataFrame, at: str, order: list[str], most: int | None = None) -> DataFrame:
     """events with order_index from 0 in a total order, unknown times last; with most, the first ones and whether there were more.
 
-    Range partitions keep the order and their counts shift it, so no task holds all rows.
+    A rank within each day and the count of all days before it; a very busy day, or all rows without a time, are one task each.
     """
     keys = [F.col(at).asc_nulls_last(), *[F.asc(c) for c in order]]
     if most is not None:

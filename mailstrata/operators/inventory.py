@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,9 +108,10 @@ def finding_events(found: DataFrame, times: DataFrame, at: str) -> DataFrame:
     return rows.withColumn("event_id", event_id(F.col("capture_id"), F.col("session_id"), F.col("kind"), F.col("anchor")))
 
 
-def drift_events(drift: DataFrame, entity: str) -> DataFrame:
-    """CONFIGURATION_DRIFT events, of observed changes only: entity, kind, anchor."""
-    return drift.where("status = 'OBSERVED_CHANGE'").select(F.col(entity).alias("entity"), F.lit("CONFIGURATION_DRIFT").alias("kind"), F.concat(F.lit("drift:"), "drift_id").alias("anchor"))
+def drift_events(drift: DataFrame) -> DataFrame:
+    """CONFIGURATION_DRIFT events, of observed changes only: drift with capture_id, session_id and at of the later session, in the columns of session_events."""
+    rows = drift.where("status = 'OBSERVED_CHANGE'").select("capture_id", "session_id", "at", F.lit("CONFIGURATION_DRIFT").alias("kind"), F.concat(F.lit("drift:"), "drift_id").alias("anchor"))
+    return rows.withColumn("event_id", event_id(F.col("capture_id"), F.col("session_id"), F.col("kind"), F.col("anchor")))
 
 
 def patterns(found: DataFrame) -> DataFrame:
@@ -119,16 +121,30 @@ def patterns(found: DataFrame) -> DataFrame:
     return rows.where("sessions >= 2").select(kind.alias("kind"), F.col("rule_id").alias("basis"), "sessions", "captures")
 
 
+def pattern_members(found: DataFrame) -> DataFrame:
+    """kind, basis (the rule), session_id, capture_id: a member of a group for every finding of a rule with a pattern."""
+    kind = reduce(lambda out, x: F.when(F.col("rule_id") == x[0], x[1]).otherwise(out), PATTERNS.items(), F.lit(None).cast("string"))
+    return found.where(F.col("rule_id").isin(*PATTERNS)).select(kind.alias("kind"), F.col("rule_id").alias("basis"), "session_id", "capture_id")
+
+
 def shared_material(facts: DataFrame, columns: dict[str, str], capture: str, session: str) -> DataFrame:
-    """kind, basis, sessions, captures, correlation_id for every value of columns (kind: column) that two sessions or more hold.
+    """kind, basis, session_id, capture_id: a member of a group for every value of columns (kind: column); an array of values, such as a whole chain, has one for each."""
 
-    The id names the smallest session and the two counts: it needs no list of all members.
-    """
-    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("basis")) for k, c in columns.items()])
-    rows = facts.select(F.col(capture).alias("c"), F.col(session).cast("string").alias("s"), F.explode(F.filter(entries, lambda e: e["basis"].isNotNull())).alias("e"))
-    groups = rows.groupBy("e.kind", "e.basis").agg(F.count_distinct("s").alias("sessions"), F.count_distinct("c").alias("captures"), F.min("s").alias("first"))
-    made = correlation_id(F.col("kind"), F.col("basis"), F.col("first"), F.concat_ws(",", F.col("sessions").cast("string"), F.col("captures").cast("string")))
-    return groups.where("sessions >= 2").select("kind", "basis", "sessions", "captures", made.alias("correlation_id"))
+    def entries_of(kind: str, column: str) -> Column:
+        each = F.col(column) if facts.schema[column].dataType.typeName() == "array" else F.array(column)
+        there = F.filter(each, lambda v: v.isNotNull())
+        return F.transform(there, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("basis")))
+
+    entries = F.flatten(F.array(*[entries_of(k, c) for k, c in columns.items()]))
+    return facts.select(F.col(capture).alias("capture_id"), F.col(session).cast("string").alias("session_id"), F.explode(entries).alias("e")).select("e.kind", "e.basis", "session_id", "capture_id")
+
+
+def correlated(members: DataFrame) -> DataFrame:
+    """kind, basis, sessions, captures, correlation_id of every group of two sessions or more. The id hashes the sorted members, as it is defined, so the list of a group is held in one row."""
+    lists = [F.sort_array(F.collect_set(c)).alias(c) for c in ("session_id", "capture_id")]
+    groups = members.groupBy("kind", "basis").agg(*lists).where(F.size("session_id") >= 2)
+    made = correlation_id(F.col("kind"), F.col("basis"), F.array_join("session_id", ","), F.array_join("capture_id", ","))
+    return groups.select("kind", "basis", F.size("session_id").cast("long").alias("sessions"), F.size("capture_id").cast("long").alias("captures"), made.alias("correlation_id"))
 
 
 def features(facts: DataFrame) -> DataFrame:
@@ -196,6 +212,37 @@ def admitted(sessions: DataFrame, capture: str, order: list[str], most: int) ->
     return sessions.withColumn("admitted", F.row_number().over(w) <= most)
 
 
+def admission(sessions: DataFrame, key: str, most_open: int, most_total: int) -> DataFrame:
+    """capture_id, key, start, end, admitted: which sessions a sensor with room for most_open at once and most_total in all would have taken.
+
+    sessions: capture_id, key (a flow), start, end (packet numbers; a session is open from its first packet to its last). A refused key stays refused, so
+    later sessions of a flow that was once turned away are turned away as well. A capture's sessions are walked in order, by one task that holds the open ends and the refused keys.
+    """
+    fields = ["capture_id", key, "start", "end"]
+    rows = sessions.select(*fields).repartition("capture_id").sortWithinPartitions("capture_id", "start", key)
+
+    def walked(batches):
+        capture, total, ends, refused = None, 0, [], set()
+        for b in batches:
+            out = []
+            for c, k, start, end in zip(*(b[f] for f in fields), strict=True):
+                if c != capture:
+                    capture, total, ends, refused = c, 0, [], set()
+                while ends and ends[0] < start:
+                    heapq.heappop(ends)
+                taken = k not in refused and len(ends) < most_open and total < most_total
+                if taken:
+                    heapq.heappush(ends, end)
+                    total += 1
+                else:
+                    refused.add(k)
+                out.append(taken)
+            yield b.assign(admitted=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInPandas(walked, ", ".join(f"`{f}` {kinds[f]}" for f in fields) + ", admitted boolean")
+
+
 def chains(certificates: DataFrame, anchors: DataFrame, at: str, depth: int = 8) -> DataFrame:
     """leaf, status of every leaf certificate: its issuers are followed by name until an anchor, each valid at the time.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inventory, rules
-from .assessment import FACTS_SQL, FINDINGS_SQL, UNITS_SQL, _score_sql, facts
+from .assessment import FACTS_SQL, FINDINGS_SQL, RESULTS_SQL, UNITS_SQL, _score_sql, facts
 from .registry import query
 
 _YES = "('UPGRADE_ACCEPTED', 'TLS_BYTES_OBSERVED')"
@@ -67,10 +67,10 @@ def pattern_correlations(t):
 
 
 @query(f"""WITH {FACTS_SQL}, m AS (SELECT 'SHARED_CERTIFICATE' AS kind, leaf_sha256 AS basis, capture_id, session_id FROM facts UNION ALL SELECT 'SHARED_PUBLIC_KEY', spki_sha256, capture_id, session_id FROM facts),
-g AS (SELECT kind, basis, count(DISTINCT session_id) AS sessions, count(DISTINCT capture_id) AS captures, min(session_id) AS first FROM m WHERE basis IS NOT NULL GROUP BY kind, basis)
-SELECT kind, basis, sessions, captures, 'corr-' || substr(sha256(kind || '|' || basis || '|sessions=' || first || '|captures=' || sessions || ',' || captures), 1, 12) AS correlation_id FROM g WHERE sessions >= 2""")
+g AS (SELECT kind, basis, count(DISTINCT session_id) AS sessions, count(DISTINCT capture_id) AS captures, string_agg(DISTINCT session_id, ',' ORDER BY session_id) AS s, string_agg(DISTINCT capture_id, ',' ORDER BY capture_id) AS c FROM m WHERE basis IS NOT NULL GROUP BY kind, basis)
+SELECT kind, basis, sessions, captures, 'corr-' || substr(sha256(kind || '|' || basis || '|sessions=' || s || '|captures=' || c), 1, 12) AS correlation_id FROM g WHERE sessions >= 2""")
 def certificate_correlations(t):
-    return inventory.shared_material(facts(t), {"SHARED_CERTIFICATE": "leaf_sha256", "SHARED_PUBLIC_KEY": "spki_sha256"}, "capture_id", "session_id")
+    return inventory.correlated(inventory.shared_material(facts(t), {"SHARED_CERTIFICATE": "leaf_sha256", "SHARED_PUBLIC_KEY": "spki_sha256"}, "capture_id", "session_id"))
 
 
 _LEAF = "(has_tls AND cert_visibility = 'OBSERVED')"
@@ -129,6 +129,14 @@ def session_admission(t):
     return inventory.admitted(facts(t).select("capture_id", "session_id"), "capture_id", ["session_id"], 100)
 
 
+@query()
+def admission_limits(t):
+    """Sessions of orders as a sensor with little room would take them; a walk that SQL can't state, so tests hold it against plain Python."""
+    start = F.col("o_orderkey") * 3
+    rows = t.orders.select(F.concat(F.lit("cap-"), (F.col("o_custkey") % 20).cast("string")).alias("capture_id"), F.col("o_custkey").alias("flow"), start.alias("start"), (start + 50 + F.col("o_orderkey") % 400).alias("end"))
+    return inventory.admission(rows, "flow", 8, 1000)
+
+
 #: Chains from suppliers: a supplier's certificate is issued by its nation, that by its region; two regions are anchors.
 _CHAIN_SQL = """held AS (SELECT s_suppkey AS session_id, 0 AS position, 'S' || s_suppkey AS subject, 'N' || s_nationkey AS issuer, s_suppkey % 11 <> 0 AS valid FROM supplier
   UNION ALL SELECT s_suppkey, 1, 'N' || s_nationkey, 'R' || n_regionkey, s_nationkey % 7 <> 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0)"""
@@ -156,12 +164,15 @@ def policy_notes(t):
     return inventory.policy_notes(facts(t))
 
 
-@query(f"""WITH {FACTS_SQL} SELECT coalesce(selected_version::VARCHAR, 'UNKNOWN') AS version, coalesce(protocol, 'UNKNOWN') AS protocol, count(*) AS sessions, count(*) FILTER (has_tls) AS with_tls,
-  count(*) FILTER (cert_visibility = 'OBSERVED') AS certificate_observed, count(*) FILTER (cert_visibility = 'ENCRYPTED_TLS13') AS certificate_encrypted FROM facts GROUP BY ALL""")
+@query(f"""WITH {RESULTS_SQL}, bad AS (SELECT DISTINCT session_id FROM results WHERE counts) SELECT coalesce(selected_version::VARCHAR, 'UNKNOWN') AS version, coalesce(protocol, 'UNKNOWN') AS protocol, count(*) AS sessions, count(*) FILTER (has_tls) AS with_tls,
+  count(*) FILTER (cert_visibility = 'OBSERVED') AS certificate_observed, count(*) FILTER (cert_visibility = 'ENCRYPTED_TLS13') AS certificate_encrypted, count(bad.session_id) AS with_findings FROM facts LEFT JOIN bad USING (session_id) GROUP BY ALL""")
 def module_counts(t):
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(n) for c, n in (("selected_version", "version"), ("protocol", "protocol"))]
     counts = {"with_tls": F.col("has_tls"), "certificate_observed": F.col("cert_visibility") == "OBSERVED", "certificate_encrypted": F.col("cert_visibility") == "ENCRYPTED_TLS13"}
-    return facts(t).groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    f = facts(t)
+    bad = rules.failures(f).select(F.col("session_id").alias("_bad")).distinct()
+    rows = f.join(bad, F.col("session_id") == F.col("_bad"), "left")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"), *[F.count_if(c).alias(n) for n, c in counts.items()], F.count("_bad").alias("with_findings"))
 
 
 _SCORES = _score_sql("session_id").removeprefix(UNITS_SQL)
@@ -173,9 +184,9 @@ def posture_strip(t):
     return rules.posture(facts(t)).select("session_id", "score").orderBy(F.col("score").asc_nulls_last(), "session_id").limit(50)
 
 
-@query(f"""WITH {UNITS_SQL}{_SCORES.replace("SELECT session_id, e AS weighted_evaluated", ", s AS (SELECT session_id, e AS weighted_evaluated", 1)}) SELECT count(*) AS sessions, count(*) FILTER (score IS NULL) AS unscored, min(score) AS weakest, max(score) AS strongest FROM s""")
+@query(f"""WITH {UNITS_SQL}{_SCORES.replace("SELECT session_id, e AS weighted_evaluated", ", s AS (SELECT session_id, e AS weighted_evaluated", 1)}) SELECT count(*) AS sessions, count(*) FILTER (score IS NULL) AS unscored, min(score) AS weakest, max(score) AS strongest, round_even(avg(coverage), 4) AS mean_coverage FROM s""")
 def posture_span(t):
-    counts = [F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("score").isNull()).alias("unscored"), F.min("score").alias("weakest"), F.max("score").alias("strongest")]
+    counts = [F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("score").isNull()).alias("unscored"), F.min("score").alias("weakest"), F.max("score").alias("strongest"), F.bround(F.avg("coverage"), 4).alias("mean_coverage")]
     return rules.posture(facts(t)).agg(*counts)
 
 

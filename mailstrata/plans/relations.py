@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import intel, rules
+from ..operators import intel, investigation, rules
+from ..sinks import work_folder
 from .assessment import REACH_SQL, UNITS_SQL, _score_sql, facts, reach
 from .registry import query, us
 
@@ -124,6 +125,46 @@ def drift(t):
     return intel.drift(settings(t), "entity", "period", ["at", "session"], intel.DRIFTS, "offer", "session")
 
 
+_OWN = {"session_id": "cast(o_orderkey as {text})", "capture_id": "concat('cap-', cast(o_orderkey % 6 as {text}))", "entity": "o_custkey % 97"}
+CAPTURES_SQL = SETTINGS_SQL.replace("st AS (SELECT ", "cs AS (SELECT " + ", ".join(f"{e.format(text='varchar')} AS {n}" for n, e in _OWN.items() if n != "entity") + ", ", 1)
+_SNAPSHOTS_SQL = f"""{CAPTURES_SQL}, f AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY entity, capture_id ORDER BY "at", session_id) = 1),
+p AS (SELECT *, lag(offer) OVER w AS _offer, lag(session_id) OVER w AS _session, {', '.join(f'lag("{k}") OVER w AS "_{k}"' for k in intel.DRIFTS)}, row_number() OVER w AS i FROM f WINDOW w AS (PARTITION BY entity ORDER BY "at", capture_id) QUALIFY i > 1),
+u AS ({" UNION ALL ".join(f"""SELECT entity, '{k}' AS kind, "_{k}" AS before, "{k}" AS after, {str(s).lower()} AS sensitive, offer, _offer, session_id, _session, capture_id, "at" FROM p""" for k, s in intel.DRIFTS.items())}),
+d AS (SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN 'NOT_COMPARABLE' WHEN before = after THEN 'UNCHANGED_WITH_EVIDENCE' WHEN sensitive AND offer IS DISTINCT FROM _offer THEN 'INCONCLUSIVE' ELSE 'OBSERVED_CHANGE' END AS status,
+  'drift-' || substr(sha256(entity || '|' || kind || '|' || coalesce(before, 'None') || '|' || coalesce(after, 'None') || '|' || _session || '|' || session_id), 1, 12) AS drift_id FROM u)"""
+
+
+def _captured(t):
+    """Sessions of six captures, from orders."""
+    return t.orders.selectExpr("o_orderkey", *[f"{e.format(text='string')} AS {n}" for n, e in {**SETTINGS, **_OWN}.items()], "unix_micros(cast(o_orderdate as timestamp)) AS at")
+
+
+def _investigated(t, parts: int) -> dict:
+    """The state of an investigation that takes these captures in so many parts, one after the other."""
+    rows, root, state = intel.fingerprints(_captured(t)), work_folder(t.spark), {}
+    for i in range(parts):
+        state = investigation.add_captures(t.spark, root, rows.where(F.col("o_orderkey") % parts == i).drop("o_orderkey"))
+    return state
+
+
+@query(f"""WITH {_SNAPSHOTS_SQL} SELECT entity, kind, before, after, status, drift_id, capture_id, session_id, "at" FROM d""")
+def incremental_drift(t):
+    """Drift between captures that came in two parts: what one batch gives."""
+    return _investigated(t, 2)["drift"]
+
+
+@query(f"""WITH {_SNAPSHOTS_SQL}, e AS (SELECT capture_id, session_id, "at", 'CONFIGURATION_DRIFT' AS kind, 'drift:' || drift_id AS anchor FROM d WHERE status = 'OBSERVED_CHANGE')
+SELECT *, 'evt-' || substr(sha256(capture_id || '|' || session_id || '|' || kind || '|' || anchor), 1, 12) AS event_id FROM e""")
+def timeline_drift(t):
+    """The changes that go on the timeline."""
+    return investigation.timeline_events({"drift": investigation.drift_rows(investigation.snapshot_rows(_captured(t)))})
+
+
+@query(f"""WITH {_SNAPSHOTS_SQL} SELECT status, count(*) AS n FROM d GROUP BY status""")
+def drift_status_counts(t):
+    return investigation.drift_rows(investigation.snapshot_rows(_captured(t))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SCORES = _score_sql("session_id").replace("SELECT session_id, e AS", "SELECT session_id, e AS", 1)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +41,13 @@ def render_html(title: str, tables: dict[str, DataFrame], rows: int = 500) -> st
         body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in shown)
         out.append(f"<h2>{html.escape(name)}</h2><p>{len(shown)} of {total} rows</p><table><tr>{head}</tr>{body}</table>")
     return "".join(out)
+
+
+def work_folder(spark) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or where that is unset and all runs on this machine a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="mailstrata-")
+    return f"{found.rstrip('/')}/mailstrata/work-{uuid.uuid4().hex}"
