@@ -181,20 +181,29 @@ def beyond(nearest, percent: int):
     return nearest + (1 - percent / 100) + 1e-9 >= 1
 
 
-def overlaps(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, hold: int = 1 << 22) -> np.ndarray:
-    """Shingles that the sets left[i] and right[i] share; set j holds sizes[j] of tokens, one set after the other. hold: shingles compared at a time."""
+def pivot_overlaps(region: np.ndarray, doc: np.ndarray, rank: np.ndarray, wanted: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, hold: int = 1 << 22) -> np.ndarray:
+    """(rows, PIVOTS): shingles that each row's document shares with each pivot of its region; a region's pivots are its first wanted rows.
+
+    Rows lie by region; set j holds sizes[j] of tokens, one set after the other. The shingles of whole regions, about hold of them at a time, are sorted once for all pivots.
+    """
     firsts = np.cumsum(sizes) - sizes
-    out = np.zeros(len(left), np.int64)
-    part = np.cumsum(sizes[left] + sizes[right]) // hold
-    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(part) != 0]), len(left)] if len(left) else [0]
+    out = np.zeros((len(doc), PIVOTS), np.int64)
+    begins = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+    held = np.add.reduceat(sizes[doc], begins)
+    part = np.cumsum(held) // hold
+    cuts = np.r_[begins[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])], len(doc)]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        rows = np.r_[left[a:z], right[a:z]]
-        n = sizes[rows]
-        at = np.repeat(firsts[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        which, held = np.repeat(np.tile(np.arange(z - a), 2), n), tokens[at]
-        order = np.lexsort((held, which))
-        which, held = which[order], held[order]
-        out[a:z] = np.bincount(which[1:][(held[1:] == held[:-1]) & (which[1:] == which[:-1])], minlength=z - a)
+        n = sizes[doc[a:z]]
+        row = np.repeat(np.arange(z - a), n)
+        token = tokens[np.repeat(firsts[doc[a:z]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        place = np.unique(mix(token + region[a:z][row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+        own = rank[a:z] < wanted[region[a:z]]
+        of_pivot = own[row]
+        mask = np.zeros(place.max(initial=-1) + 1, np.uint8)
+        np.bitwise_or.at(mask, place[of_pivot], (1 << rank[a:z][row[of_pivot]]).astype(np.uint8))
+        met = mask[place]
+        for j in range(int(wanted[region[a:z]].max())):
+            out[a:z, j] = np.bincount(row[(met >> j) & 1 == 1], minlength=z - a)
     return out
 
 
@@ -267,7 +276,7 @@ def region_edges(cells: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tokens:
         other = pair_row != pair_pivot
         pair_row, slot, pair_pivot = pair_row[other], slot[other], pair_pivot[other]
         a, b = doc[pair_row], doc[pair_pivot]
-        both = overlaps(a, b, sizes, tokens)
+        both = pivot_overlaps(region, doc, rank, wanted, sizes, tokens)[pair_row, slot]
         union = sizes[a] + sizes[b] - both
         np.add.at(met, a, 1)
         np.add.at(met, b, 1)
