@@ -1,4 +1,5 @@
-"""python -m mailstrata analyze GLOB OUT [--no-segments] [--no-events] [--trust-store PEM] [--set name=value]...
+"""python -m mailstrata analyze GLOB OUT [--no-segments] [--no-events] [--trust-store PEM] [--model PATH] [--set name=value]...
+python -m mailstrata learn OUT MODEL [--threshold SHARE]
 python -m mailstrata fixtures PATH [SESSIONS]
 python -m mailstrata status"""
 
@@ -19,7 +20,12 @@ def main(args: list[str]) -> int:
     a.add_argument("--no-segments", action="store_true")
     a.add_argument("--no-events", action="store_true")
     a.add_argument("--trust-store")
+    a.add_argument("--model")
     a.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
+    n = verbs.add_parser("learn")
+    n.add_argument("out")
+    n.add_argument("model")
+    n.add_argument("--threshold", type=float, default=0.02)
     f = verbs.add_parser("fixtures")
     f.add_argument("path")
     f.add_argument("sessions", type=int, nargs="?", default=25)
@@ -35,7 +41,21 @@ def main(args: list[str]) -> int:
 
         print(f"mailstrata on PySpark {pyspark.__version__}")
         return 0
-    return analyze(o)
+    return learn(o) if o.verb == "learn" else analyze(o)
+
+
+def learn(o) -> int:
+    """Stores the frequencies of the sessions that an analysis left under OUT as a model that later analyses judge theirs by."""
+    from pyspark.sql import SparkSession
+
+    from .operators import profiles
+    from .shipping import shipped
+
+    spark = shipped(SparkSession.builder.appName("mailstrata").getOrCreate())
+    baseline = profiles.fit(profiles.profile(spark.read.parquet(f"{o.out}/sessions")), o.threshold)
+    profiles.save(spark, baseline, o.model)
+    print(f"{baseline.total} sessions, {len(baseline.combinations)} combinations")
+    return 0
 
 
 def analyze(o) -> int:
@@ -44,7 +64,7 @@ def analyze(o) -> int:
     from pyspark.sql import functions as F
 
     from .config import Config
-    from .operators import chains, rules
+    from .operators import chains, profiles, rules
     from .shipping import shipped
     from .sinks import render_html, write_json
     from .sources import sessions
@@ -70,6 +90,9 @@ def analyze(o) -> int:
     warnings = facts.select("capture_id", "session_id", F.explode("warnings").alias("w")).select("capture_id", "session_id", "w.*")
     warnings.write.mode("overwrite").parquet(f"{o.out}/warnings")
     write_json(scores, f"{o.out}/scores_json")
+    baseline, status, reason = profiles.load(spark, o.model)
+    print(f"model: {status}" + (f", {reason}" if reason else ""), file=sys.stderr)
+    profiles.judged(profiles.profile(facts), baseline).write.mode("overwrite").parquet(f"{o.out}/profiles")
     page = render_html("Mail transport report", {"Scores": scores.orderBy("capture_id"), "Findings": found.orderBy("rank"), "Sessions": facts.select("session_id", "server_ip", "server_port", "protocol", "upgrade_state", "completeness").orderBy("session_id")})
     spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(f"{o.out}/report")
     return 0

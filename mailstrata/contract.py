@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .plans import assessment, evidence, inventory, models, packets, pages, relations, streams
+from .plans import assessment, evidence, inventory, models, packets, pages, profiles, relations, streams
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "SETTINGS", "flagship"]
 #: Settings that queries run with: one zone, and no generated function that is too long for the JVM to compile (beyond 8 000 bytes it stays interpreted).
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
-_PLANS = (assessment, evidence, inventory, models, packets, pages, relations, streams)
+_PLANS = (assessment, evidence, inventory, models, packets, pages, profiles, relations, streams)
 
 
 def flagship(spark, sf_dir: str):

@@ -147,34 +147,6 @@ def correlated(members: DataFrame) -> DataFrame:
     return groups.select("kind", "basis", F.size("session_id").cast("long").alias("sessions"), F.size("capture_id").cast("long").alias("captures"), made.alias("correlation_id"))
 
 
-def features(facts: DataFrame) -> DataFrame:
-    """Model features of every session with the reasons of what is absent, whether it can be evaluated, and how complete its evidence is.
-
-    What a capture can never show (a TLS 1.3 certificate) is NOT_AVAILABLE, what doesn't apply (a group under an RSA exchange) NOT_APPLICABLE, what it might have
-    shown UNKNOWN. Without TLS nothing can be evaluated and every feature is null.
-    """
-    tls = F.coalesce(F.col("has_tls"), F.lit(False))
-    version, leaf = F.col("selected_version"), F.coalesce(F.col("cert_visibility") == "OBSERVED", F.lit(False))
-    name = reduce(lambda out, x: F.when(version == x[0], x[1]).otherwise(out), VERSION_NAMES.items(), F.when(version.isNull(), "MISSING").otherwise("OTHER"))
-    group_reason = F.when(F.col("tls_group").isNotNull(), "OBSERVED").when((version < 0x0304) & (F.col("kex") == "RSA"), "NOT_APPLICABLE").otherwise("UNKNOWN")
-    cert_reason = F.when(leaf, "OBSERVED").when(version == 0x0304, "NOT_AVAILABLE").otherwise("UNKNOWN")
-    eligible = tls & version.isNotNull() & F.col("suite").isNotNull()
-    observed = sum((x.cast("int") for x in (version.isNotNull(), F.col("suite").isNotNull(), F.col("tls_group").isNotNull(), leaf)), F.lit(0))
-    made = {
-        "tls_version": name,
-        "group_absence_reason": group_reason,
-        "certificate_absence_reason": cert_reason,
-        "certificate_observed": leaf,
-        "forward_secrecy_observed": F.coalesce(F.col("fs_status").isin("EPHEMERAL_OBSERVED", "CAPABLE"), F.lit(False)),
-        "cert_key_algorithm": F.when(leaf, F.coalesce("key_algorithm", F.lit("MISSING"))).otherwise("MISSING"),
-        "cert_key_bits": F.when(leaf, F.col("key_bits").cast("double")),
-        "cert_lifetime_days": F.when(leaf, F.floor((F.col("not_after_us") - F.col("not_before_us")) / 86_400_000_000).cast("long")),
-        "evidence_completeness": observed / 4.0,
-    }
-    state = F.when(eligible, "ELIGIBLE").otherwise("ML_NOT_EVALUABLE")
-    return facts.select("capture_id", "session_id", *[F.when(tls, c).alias(n) for n, c in made.items()], state.alias("eligibility"))
-
-
 def routed(warnings: DataFrame, sessions: DataFrame, key: str = "session_id") -> DataFrame:
     """sessions with n_warnings and their distinct codes in order; warnings without a session stay with the capture and are not counted here."""
     own = warnings.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_warnings"), F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))

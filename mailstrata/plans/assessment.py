@@ -50,6 +50,10 @@ FACTS = {
     "protocol": "case o_custkey % 4 when 0 then 'SMTP' when 1 then 'IMAP' when 2 then 'POP3' else null end",
     "tls_group": "case when o_orderkey % 6 = 0 then null else 23 + o_custkey % 3 end",
     "kex": "case o_custkey % 3 when 0 then 'RSA' when 1 then 'ECDHE' else null end",
+    "sni": "case when o_orderkey % 4 = 0 then null else 'mail.example' end",
+    "offered_suites": "o_custkey % 45",
+    "offered_versions": "o_orderkey % 7",
+    "offered_tls13": "o_custkey % 3 = 2",
     "leaf_sha256": "case when o_custkey % 6 = 0 then null else concat('L', cast(o_custkey % 50 as {text})) end",
     "spki_sha256": "case when o_custkey % 6 = 0 then null else concat('K', cast(o_custkey % 40 as {text})) end",
 }

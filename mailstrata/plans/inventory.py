@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inventory, rules
+from ..operators import inventory, profiles, rules
 from .assessment import FACTS_SQL, FINDINGS_SQL, RESULTS_SQL, UNITS_SQL, _score_sql, facts
 from .registry import query
 
@@ -86,14 +86,16 @@ _LEAF = "(has_tls AND cert_visibility = 'OBSERVED')"
   CASE WHEN has_tls THEN ((selected_version IS NOT NULL)::INT + (suite IS NOT NULL)::INT + (tls_group IS NOT NULL)::INT + {_LEAF}::INT) / 4.0::DOUBLE END AS evidence_completeness,
   CASE WHEN has_tls AND selected_version IS NOT NULL AND suite IS NOT NULL THEN 'ELIGIBLE' ELSE 'ML_NOT_EVALUABLE' END AS eligibility FROM facts""")
 def ml_features(t):
-    return inventory.features(facts(t))
+    named = ["tls_version", "group_absence_reason", "certificate_absence_reason", "certificate_observed", "forward_secrecy_observed", "cert_key_algorithm", "cert_key_bits"]
+    days = F.col("cert_lifetime_days").cast("long").alias("cert_lifetime_days")
+    return profiles.profile(facts(t)).select("capture_id", "session_id", *named, days, "evidence_completeness", "eligibility")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT capture_id, count(*) AS sessions, count(*) FILTER (has_tls AND selected_version IS NOT NULL AND suite IS NOT NULL) AS eligible,
   count(*) FILTER (NOT (has_tls AND selected_version IS NOT NULL AND suite IS NOT NULL)) AS not_evaluable FROM facts GROUP BY capture_id""")
 def ml_summary(t):
     counts = {"sessions": F.count(F.lit(1)), "eligible": F.count_if(F.col("eligibility") == "ELIGIBLE"), "not_evaluable": F.count_if(F.col("eligibility") != "ELIGIBLE")}
-    return inventory.features(facts(t)).groupBy("capture_id").agg(*[c.alias(n) for n, c in counts.items()])
+    return profiles.profile(facts(t)).groupBy("capture_id").agg(*[c.alias(n) for n, c in counts.items()])
 
 
 @query("""SELECT 'train' AS part, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('MACHINERY') UNION ALL SELECT 'holdout', count(*) FROM customer WHERE c_mktsegment IN ('MACHINERY')

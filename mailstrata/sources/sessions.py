@@ -32,7 +32,7 @@ SESSION = (
     "has_tls boolean, client_hello boolean, server_hello boolean, hrr boolean, fatal_alert boolean, degraded boolean, hello_done boolean, cipher_changed boolean, selected_version int, lowest_offered int, offer string, suite int, kex string, authentication string, encryption string, suite_known boolean, tls13_suite boolean, tls_group int, share boolean, alpn string, sni string, resumed boolean,"
     "subject string, issuer string, not_before_us long, not_after_us long, key_algorithm string, key_bits int, signature_hash string, eku_count int, eku_server_auth boolean, leaf_sha256 string, spki_sha256 string, hostname_status string,"
     f"conflict_records {CONFLICT}, client_acked_missing long, server_acked_missing long, warnings {WARNING}, events_suppressed int, mail_packets {PACKETS}, mail_offsets {PACKETS}, tls_packets {PACKETS}, certificate_packets {PACKETS},"
-    f"tls_alerts {ALERT}, client_framing string, server_framing string, client_boundary long, client_boundary_reason string, server_boundary long, server_boundary_reason string, ambiguous_records int, compatibility_change boolean, dh_bits int, chain_der array<binary>"
+    f"tls_alerts {ALERT}, client_framing string, server_framing string, client_boundary long, client_boundary_reason string, server_boundary long, server_boundary_reason string, ambiguous_records int, compatibility_change boolean, dh_bits int, offered_suites int, offered_versions int, offered_tls13 boolean, chain_der array<binary>"
 )
 NESTED = (RUN, GAP, EVENT, CONFLICT, WARNING, ALERT)
 
@@ -121,6 +121,7 @@ def _row(session: tcp.Session) -> dict:
         row |= {
             "client_hello": t["client_hello"], "server_hello": t["server_hello"], "hrr": t["hrr"], "fatal_alert": t["fatal_alert"], "degraded": t["degraded"], "hello_done": t["done"], "cipher_changed": t["change"], "selected_version": t.get("version"), "lowest_offered": min(known, default=None),
             "offer": ",".join(f"{x:04x}" for x in sorted(t["offered_versions"]) + sorted(t["offered"])) or None, "suite": t.get("suite"), "kex": suite and suite[0], "authentication": suite and suite[1], "encryption": suite and suite[2], "suite_known": suite is not None, "tls13_suite": bool(suite and suite[0] == "TLS13"),
+            "offered_suites": len(t["offered"]), "offered_versions": len(t["offered_versions"]), "offered_tls13": 0x0304 in t["offered_versions"],
             "tls_group": t.get("group"), "share": t.get("share", False), "alpn": t.get("alpn"), "sni": t.get("sni"), "resumed": t.get("resumed"),
             "tls_packets": sorted({p for w, a, z in t["hello_ranges"] for p in carriers(w, a, z)}), "certificate_packets": sorted({p for w, a, z in t["certificate_ranges"] for p in carriers(w, a, z)}),
             "tls_alerts": t["alerts"], "ambiguous_records": t["ambiguous_records"], "compatibility_change": t["compatibility_change"], "dh_bits": t.get("dh_bits"), "chain_der": t["certificates"],
