@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chains, evidence
-from .registry import query
+from .registry import dealt, query
 
 SEGMENTS = """items AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber),
 segments AS (SELECT l_orderkey, l_linenumber AS packet, l_partkey % 150 AS s, l_partkey % 150 + 20 + l_suppkey % 60 AS e, l_returnflag AS b FROM items),
@@ -20,7 +20,7 @@ conflicts AS (SELECT p.l_orderkey, p.s, p.e, p.owner, p.packet, sha256(repeat(o.
 
 def _items(t):
     """One line item for each order and number."""
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
+    return dealt(t.lineitem, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
 
 
 def _segments(t):
@@ -51,7 +51,7 @@ def overlap_conflicts(t):
 @query(f"""WITH {CONFLICTS} SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM conflicts c WHERE c.l_orderkey = n.l_orderkey AND c.s < greatest(n.e, n.s + 1) AND n.s < c.e) AS ambiguous FROM lines n""")
 def range_ambiguity(t):
     """Lines that lie where line items disagree."""
-    found = evidence.ambiguous(_lines(t), evidence.disagreements(_segments(t), ["l_orderkey"]), ["l_orderkey"], "l_linenumber")
+    found = evidence.ambiguous(_lines(t), evidence.disagreements(_segments(t), ["l_orderkey"], digests=False), ["l_orderkey"])
     return found.select("l_orderkey", "l_linenumber", "ambiguous")
 
 

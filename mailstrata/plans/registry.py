@@ -43,3 +43,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df, dealt evenly where its scan has fewer splits than the application has cores; a scan of many splits stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *key: str, parts: int = 32) -> DataFrame:
+    """df by key, in `parts` partitions for each split of its scan: what groups or orders rows of a key needs no other shuffle, and a task's rows don't grow with the table."""
+    return df.repartition(parts * df.rdd.getNumPartitions(), *key)

@@ -1,9 +1,12 @@
 """Plans whose work and memory must follow the input."""
 
+import hashlib
+import random
+
 import pytest
 
 from mailstrata import contract
-from mailstrata.operators import intervals
+from mailstrata.operators import evidence, intervals
 from mailstrata.shipping import shipped
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +36,43 @@ def test_session_ids_of_repeated_rows(spark, tmp_path):
         rows.unionByName(rows.limit(5)).write.parquet(f"{tmp_path}/{t}.parquet")
     once, twice = (sorted(map(tuple, contract.QUERIES["session_ids"](shipped(spark), d).collect())) for d in (SF, str(tmp_path)))
     assert once == twice
+
+
+@pytest.mark.parametrize("name, exchanges", [("overlap_conflicts", 1), ("range_ambiguity", 3)])
+def test_conflicts_move_each_row_once(spark, name, exchanges):
+    plan = plan_of(contract.QUERIES[name](shipped(spark), SF))
+    assert "Join" not in plan and plan.count("Exchange") == exchanges
+
+
+def test_conflicts_and_ranges_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    segments, ranges = [], []
+    for k in range(30):
+        for n in rng.sample(range(99), 9):
+            start, length = rng.randrange(60), rng.randrange(0, 25)
+            segments.append((k, n, start, start + length, None if rng.random() < 0.05 else "".join(rng.choice("aaab") for _ in range(length))))
+        ranges += [(k, i, a, a + rng.randrange(0, 9)) for i, a in enumerate(rng.sample(range(90), 6))]
+    want = set()
+    for k in range(30):
+        runs = {}
+        own = [s for s in segments if s[0] == k]
+        for x in range(90):
+            there = sorted(s for s in own if s[2] <= x < s[3])
+            for later in there[1:]:
+                run = runs.setdefault((there[0], later), [])
+                if run and run[-1][1] == x:
+                    run[-1][1] = x + 1
+                else:
+                    run.append([x, x + 1])
+        for (o, p), found in runs.items():
+            for a, z in found:
+                if o[4] is not None and p[4] is not None and (one := o[4][a - o[2] : z - o[2]]) != (other := p[4][a - p[2] : z - p[2]]):
+                    want.add((k, a, z, o[1], p[1], *(hashlib.sha256(x.encode()).hexdigest() for x in (one, other))))
+    strange = [(None, 1, 0, 9, "aaaaaaaaa"), (None, 2, 0, 9, "bbbbbbbbb"), (1, None, 0, 60, "c" * 60)]
+    table = spark.createDataFrame(segments + strange, "k int, packet int, start int, end int, payload string")
+    found = evidence.disagreements(table, ["k"])
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 50
+    asked = spark.createDataFrame([*ranges, (None, 1, 0, 60)], "k int, id int, start int, end int")
+    got = {tuple(r) for r in evidence.ambiguous(asked, found, ["k"]).collect()}
+    meets = lambda k, a, z: any(w[0] == k and w[1] < max(z, a + 1) and a < w[2] for w in want)
+    assert got == {(*r, meets(r[0], r[2], r[3])) for r in ranges} | {(None, 1, 0, 60, False)}
