@@ -59,14 +59,25 @@ def class_metrics(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     return x.withColumns({"precision": ratio(F.col("correct"), F.col("predicted")), "recall": ratio(F.col("correct"), F.col("support")), "f1": ratio(2 * F.col("correct"), F.col("support") + F.col("predicted"))})
 
 
+#: Distinct values of a feature up to which their counts are broadcast; beyond, Spark joins them as it sees fit.
+BROADCAST_VALUES = 40_000
+
+
 def explain(rows: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
-    """For each row its k rarest feature values: key, rank, feature, value, frequency; ties by feature name."""
-    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])).alias("e")).select(key, "e.*")
+    """For each row its k rarest feature values: key, rank, feature, value, frequency; ties by feature name, a missing value has frequency 1.
+
+    Values are counted for each feature and looked up feature by feature, and the rarest are picked within the row: rows are neither multiplied before that nor moved to be ordered.
+    """
     total = rows.agg(F.count(F.lit(1)).alias("_t"))
-    seen = each.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total)).withColumn("frequency", F.col("_n") / F.col("_t"))
-    x = each.alias("x").join(seen.alias("s"), (F.col("x.feature") == F.col("s.feature")) & F.col("x.value").eqNullSafe(F.col("s.value"))).select(f"x.{key}", "x.feature", "x.value", "s.frequency")
-    x = x.withColumn("frequency", F.when(F.col("value").isNull(), 1.0).otherwise(F.col("frequency")))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("frequency", "feature"))).where(F.col("rank") <= k)
+    x = rows.select(key, *[F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(features)]).crossJoin(F.broadcast(total))
+    for i, f in enumerate(features):
+        seen = rows.where(F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias(f"_s{i}")).agg(F.count(F.lit(1)).alias(f"_n{i}"))
+        few = seen.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+        x = x.join(F.broadcast(seen) if few else seen, F.col(f"_v{i}") == F.col(f"_s{i}"), "left")
+    share = lambda i: F.when(F.col(f"_v{i}").isNull(), 1.0).otherwise(F.col(f"_n{i}") / F.col("_t"))
+    each = [F.struct(share(i).alias("frequency"), F.lit(f).alias("feature"), F.col(f"_v{i}").alias("value")) for i, f in enumerate(features)]
+    rarest = x.select(key, F.posexplode(F.slice(F.sort_array(F.array(*each)), 1, k)).alias("_at", "_e"))
+    return rarest.select(key, "_e.feature", "_e.value", "_e.frequency", (F.col("_at") + 1).alias("rank"))
 
 
 def split(rows: DataFrame, group: str, seed: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:

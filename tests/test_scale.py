@@ -6,7 +6,7 @@ import random
 import pytest
 
 from mailstrata import contract
-from mailstrata.operators import evidence, intervals
+from mailstrata.operators import evidence, intervals, learning
 from mailstrata.shipping import shipped
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,19 @@ def test_conflicts_and_ranges_equal_a_plain_count(spark):
     got = {tuple(r) for r in evidence.ambiguous(asked, found, ["k"]).collect()}
     meets = lambda k, a, z: any(w[0] == k and w[1] < max(z, a + 1) and a < w[2] for w in want)
     assert got == {(*r, meets(r[0], r[2], r[3])) for r in ranges} | {(None, 1, 0, 60, False)}
+
+
+def test_explanations_move_no_rows(spark):
+    plan = plan_of(contract.QUERIES["explain_topk"](shipped(spark), SF))
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 40_000])
+def test_explanations_equal_a_plain_count(spark, monkeypatch, most):
+    monkeypatch.setattr(learning, "BROADCAST_VALUES", most)
+    rows = [(i, "abc"[i * i % 3], None if i % 4 == 0 else i % 5) for i in range(40)]
+    got = learning.explain(spark.createDataFrame(rows, "id int, b string, a int"), "id", ["b", "a"], 1).collect()
+    count = lambda n, v: sum(r[n] == v for r in rows) / 40
+    each = lambda r: [(count(1, r[1]), "b", r[1]), (1.0, "a", None) if r[2] is None else (count(2, r[2]), "a", str(r[2]))]
+    want = {r[0]: min(each(r), key=lambda e: e[:2]) for r in rows}
+    assert {r["id"]: (r["frequency"], r["feature"], r["value"]) for r in got} == want and {r["rank"] for r in got} == {1}
