@@ -45,6 +45,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def dealt(df: DataFrame, *key: str, parts: int = 32) -> DataFrame:
-    """df by key, in `parts` partitions for each split of its scan: what groups or orders rows of a key needs no other shuffle, and a task's rows don't grow with the table."""
-    return df.repartition(parts * df.rdd.getNumPartitions(), *key)
+#: Partitions up to which a task writes shuffled rows straight to files and holds none of them (spark.shuffle.sort.bypassMergeThreshold).
+STRAIGHT = 200
+
+
+def dealt(df: DataFrame, *key: str, parts: int = 16) -> DataFrame:
+    """df by key, in `parts` partitions for each split of its scan: what groups or orders rows of a key needs no other shuffle, and a task's rows don't grow with the table.
+
+    STRAIGHT partitions serve for up to twice their number, so that the scan's tasks hold no rows either.
+    """
+    n = parts * df.rdd.getNumPartitions()
+    return df.repartition(n if n > 2 * STRAIGHT else min(n, STRAIGHT), *key)

@@ -92,3 +92,8 @@ def test_explanations_equal_a_plain_count(spark, monkeypatch, most):
     each = lambda r: [(count(1, r[1]), "b", r[1]), (1.0, "a", None) if r[2] is None else (count(2, r[2]), "a", str(r[2]))]
     want = {r[0]: min(each(r), key=lambda e: e[:2]) for r in rows}
     assert {r["id"]: (r["frequency"], r["feature"], r["value"]) for r in got} == want and {r["rank"] for r in got} == {1}
+
+
+def test_spans_are_dealt_before_they_are_counted(spark):
+    plan = plan_of(contract.QUERIES["merged_spans"](shipped(spark), SF))
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]  # a scan's task would hold nearly all of its rows in a map
