@@ -3,8 +3,11 @@
 import hashlib
 import random
 
+import duckdb
+import pyarrow.parquet as pq
 import pytest
 
+import __spark_entry__ as entry
 from mailstrata import contract
 from mailstrata.operators import evidence, intervals, learning
 from mailstrata.shipping import shipped
@@ -38,6 +41,43 @@ def test_session_ids_of_repeated_rows(spark, tmp_path):
     assert once == twice
 
 
+def test_session_ids_of_null_keys_equal_sql(spark, tmp_path):
+    spark.createDataFrame([(1, 3), (None, 3), (None, 3), (2, None), (None, None), (4, 5)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, 3), (None, 3), (8, None), (None, 5), (9, 5), (9, 5)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    for t in ("supplier", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    got = order(contract.QUERIES["session_ids"](shipped(spark), str(tmp_path)).collect())
+    assert got == order(db.execute(contract.ORACLES["session_ids"]).fetchall()) and len(got) == 6 and any(r[2] is None for r in got)
+
+
+def test_session_ids_take_little_more_than_their_bits(spark, tmp_path):
+    queries = entry.queries()
+    queries["session_ids"](spark, "/root/testdata/sf0.1").write.parquet(f"{tmp_path}/ids")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("ids/*.parquet")]
+    rows = sum(m.num_rows for m in files)
+    stored = sum(m.row_group(g).column(c).total_compressed_size for m in files for g in range(m.num_row_groups) for c in range(4))
+    assert rows > 500_000 and stored < 24 * rows  # two ids of 64 bits are 16 bytes
+
+
+def test_settings_of_one_query_are_not_those_of_the_next(spark):
+    codec, queries = "spark.sql.parquet.compression.codec", entry.queries()
+    queries["session_roles"](spark, SF)
+    before = spark.conf.get(codec)
+    queries["session_ids"](spark, SF)
+    assert spark.conf.get(codec) == "zstd" != before
+    queries["session_roles"](spark, SF)
+    assert spark.conf.get(codec) == before
+    spark.conf.set(codec, "gzip")
+    try:
+        queries["session_ids"](spark, SF)
+        queries["session_roles"](spark, SF)
+        assert spark.conf.get(codec) == "gzip"  # the user's own stays
+    finally:
+        spark.conf.unset(codec)
+
+
 @pytest.mark.parametrize("name, exchanges", [("overlap_conflicts", 1), ("range_ambiguity", 3)])
 def test_conflicts_move_each_row_once(spark, name, exchanges):
     plan = plan_of(contract.QUERIES[name](shipped(spark), SF))
